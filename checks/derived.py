@@ -28,7 +28,7 @@ def content(spark, sf_dir) -> DataFrame:
 
 
 def chats(spark, sf_dir, column: str, role: str, said: str, turn=None) -> DataFrame:
-    """One row per conversation with its turns in order."""
+    """One row per conversation, which is what a chat source holds, with its turns in order."""
     turns = table(spark, sf_dir, "conversations")
     spoken = turn(F.col("role"), F.col("text")) if turn else (F.col("role"), F.col("text"))
     entry = F.struct("turn", F.struct(spoken[0].alias(role), spoken[1].alias(said)).alias("t"))

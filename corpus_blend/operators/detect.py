@@ -110,9 +110,10 @@ def _has_turns(df: DataFrame, column: str, keys: tuple[str, str], strict_first_r
         found = F.map_contains_key(turn, keys[0]) & F.map_contains_key(turn, keys[1])
     else:
         return False
+    order = [c for c in POSITION if c in df.columns]
+    probed = df.select(found.alias("_found"), *order)
     if strict_first_row:
-        order = [c for c in POSITION if c in df.columns]
-        probe = df.orderBy(*order).limit(1) if order else df.limit(1)
+        first = probed.orderBy(*order).limit(1) if order else probed.limit(1)
     else:
-        probe = df.limit(PROBE_ROWS)
-    return any(row[0] for row in probe.select(found).collect())
+        first = probed.limit(PROBE_ROWS)  # the outermost step, so Spark reads no further than it
+    return any(row["_found"] for row in first.collect())

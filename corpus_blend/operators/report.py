@@ -55,8 +55,8 @@ def source_counts(df: DataFrame) -> DataFrame:
 def role_counts(df: DataFrame) -> DataFrame:
     """Messages per role; Spark adds up each task's messages before the exchange."""
     return (
-        df.select(F.explode("messages").alias("m"))
-        .groupBy(F.col("m.role").alias("role"))
+        df.select(F.explode("messages.role").alias("role"))
+        .groupBy("role")
         .agg(F.count("*").alias("n_messages"))
     )
 
@@ -111,14 +111,15 @@ def inspect_source(
     """One row: label, layout, rows, columns and one sample row as JSON."""
     rows = _public(df)
     found = detect_format(rows if not strict_first_row else df, fmt, strict_first_row)
-    packed = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
-    sample = peek(rows, 1).select(packed.alias("sample"))
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    packed = F.to_json(row, {"ignoreNullFields": "false"})
+    sample = peek(rows.select(packed), 1).collect()
     return rows.agg(F.count("*").alias("n_rows")).select(
         F.lit(label).alias("source"),
         F.lit(found).alias("format"),
         "n_rows",
         F.lit(",".join(rows.columns)).alias("columns"),
-        sample.scalar().alias("sample"),
+        F.lit(sample[0][0] if sample else None).cast("string").alias("sample"),
     )
 
 
