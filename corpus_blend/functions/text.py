@@ -147,46 +147,47 @@ def json_text(col: Column, dtype: T.DataType) -> Column:
 def _json_or_text(col: Column) -> Column:
     """A string, or the text of the JSON list or object it holds."""
     parsed = F.when(col.rlike(r"^\s*[\[{]"), F.try_parse_json(col))
-    return F.when(parsed.isNotNull(), _variant_text(parsed, JSON_DEPTH)).otherwise(
-        F.coalesce(col, F.lit(""))
+    return _once(
+        parsed,
+        lambda v: F.when(v.isNotNull(), _variant_text(v, JSON_DEPTH)).otherwise(
+            F.coalesce(col, F.lit(""))
+        ),
     )
 
 
-def _variant_text(value: Column, depth: int, in_list: bool = False) -> Column:
-    """Text of a parsed JSON value; below ``depth`` levels it stays JSON text."""
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Column:
+    """Text of a parsed JSON value; below ``depth`` levels it stays JSON text.
+
+    A list has its items as children, an object the value of its first text
+    key. ``listed`` tells whether the value is itself an item of a list.
+    """
     kind = F.schema_of_variant(value)
-    scalar = (
-        F.when(kind == "VOID", "")
-        .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
+    is_list, is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
+    plain = F.try_variant_get(value, "$", "string")
+    scalar = F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
     if depth == 0:
-        nested = F.to_json(value)
-        return F.coalesce(
-            F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), nested).otherwise(scalar),
-            F.lit(""),
-        )
-    items = F.try_variant_get(value, "$", "array<variant>")
+        text = F.when(is_list | is_object, F.to_json(value)).otherwise(scalar)
+        return F.coalesce(text, F.lit(""))
     members = F.try_variant_get(value, "$", "map<string,variant>")
-    whole = F.to_json(value)
-    if in_list:
-        # inside a list, "value" is only looked at for parts that are text
+    child = F.lit(None)
+    for key in reversed(VALUE_KEYS):
+        found = F.map_contains_key(members, key)
+        child = F.when(found, F.array(F.element_at(members, key))).otherwise(child)
+    children = F.when(is_list, F.try_variant_get(value, "$", "array<variant>")).otherwise(child)
+    text = F.when(
+        children.isNotNull(), _lines(children, lambda x: _variant_text(x, depth - 1, is_list))
+    ).otherwise(F.when(is_object, F.to_json(value)).otherwise(scalar))
+    if listed is not None:
+        held = [F.coalesce(F.map_contains_key(members, k), F.lit(False)) for k in BLOCK_KEYS]
         part = F.try_variant_get(value, "$.type", "string")
-        plain = _by_key(members, ("value",), lambda v: _variant_text(v, depth - 1), whole)
-        of_object = _by_key(
-            members,
-            BLOCK_KEYS,
-            lambda v: _variant_text(v, depth - 1),
-            F.when(_is_text_part(part), plain).otherwise(""),
-        )
-    else:
-        of_object = _by_key(members, VALUE_KEYS, lambda v: _variant_text(v, depth - 1), whole)
-    return F.coalesce(
-        F.when(kind.startswith("ARRAY"), _lines(items, lambda x: _variant_text(x, depth - 1, True)))
-        .when(kind.startswith("OBJECT"), of_object)
-        .otherwise(scalar),
-        F.lit(""),
-    )
+        dropped = is_object & ~held[0] & ~held[1] & ~_is_text_part(part)
+        text = F.when(listed & dropped, "").otherwise(text)
+    return F.coalesce(text, F.lit(""))
 
 
 # --- small text helpers -----------------------------------------------------------

@@ -59,12 +59,11 @@ def publish(df: DataFrame, table: str, partition: str | None = SPLIT) -> None:
 
 def preview(spark: SparkSession, folder: str, n: int = 50) -> DataFrame:
     """The first rows of a saved JSON Lines folder, reading no more files than needed."""
-    return spark.read.schema(_first_schema(spark, folder)).json(folder).limit(n)
-
-
-def _first_schema(spark: SparkSession, folder: str) -> T.StructType:
-    lines = [r[0] for r in spark.read.text(folder).limit(50).select("value").collect()]
-    return spark.read.json(spark.createDataFrame([(x,) for x in lines], "value string")).schema
+    listed = f"[{','.join(r.value for r in spark.read.text(folder).limit(n).collect())}]"
+    schema = spark.range(1).select(F.schema_of_json(F.lit(listed))).first()[0]
+    return spark.createDataFrame([(listed,)], "rows string").select(
+        F.inline(F.from_json("rows", schema))
+    )
 
 
 def card_text(summary: dict) -> str:
