@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 
 # The characters counted as whitespace (the Unicode set, spelled
 # out because Java's \s is ASCII only), and the keys that carry a value's text.
-WHITESPACE = (
-    r" \t\n\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+OTHER_SPACES = (
+    r"\t\n\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+WHITESPACE = " " + OTHER_SPACES
 BLOCK_KEYS = ("text", "content")
 VALUE_KEYS = ("text", "content", "value")
 PART_SEPARATOR = "\n"
@@ -193,9 +194,14 @@ def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Co
 # --- small text helpers -----------------------------------------------------------
 
 
+# runs of whitespace other than one plain space, which is most of them and stays as it is
+_UNEVEN_RUN = f" *[{OTHER_SPACES}][{WHITESPACE}]*| {{2,}}"
+
+
 def normalize_text(col: Column) -> Column:
     """Whitespace runs to one space, no space at the ends, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), f"[{WHITESPACE}]+", " ")))
+    even = F.regexp_replace(F.coalesce(col, F.lit("")), _UNEVEN_RUN, " ")
+    return F.lower(F.trim(even))
 
 
 def is_blank(col: Column) -> Column:

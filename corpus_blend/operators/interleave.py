@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -212,13 +213,20 @@ def _draws(spark, lengths, shares, seed, stop, block):
             break
         end *= 2
 
-    stops = []
-    for s, r in found.items():
-        inside = _block_draws(spark, r["_block"], block, end, sources, shares, seed)
-        nth = lengths[s] - r["_before"]
-        one = inside.where(F.col(SRC) == s).orderBy("_draw").limit(nth)
-        stops.append(one.agg(F.max("_draw")).first()[0])
-    stop_at = max(stops) if stop == ALL else min(stops)
+    # the last first-time pick of each source, looked up in its one block
+    near = [
+        _block_draws(spark, b, block, end, sources, shares, seed)
+        for b in sorted({r["_block"] for r in found.values()})
+    ]
+    nth = F.row_number().over(Window.partitionBy("_block", SRC).orderBy("_draw"))
+    wanted = {s: lengths[s] - r["_before"] for s, r in found.items()}
+    at = _by_source({s: r["_block"] for s, r in found.items()})
+    last_picks = (
+        reduce(DataFrame.unionByName, near)
+        .withColumn("_nth", nth)
+        .where((F.col("_block") == at) & (F.col("_nth") == _by_source(wanted)))
+    )
+    stop_at = last_picks.agg((F.max if stop == ALL else F.min)("_draw")).first()[0]
 
     final = stop_at // block
     inside = _block_draws(spark, final, block, stop_at + 1, sources, shares, seed)
@@ -228,10 +236,9 @@ def _draws(spark, lengths, shares, seed, stop, block):
         picks[r[SRC]] += r["n"]
 
     drawn = _with_source(_draw_range(spark, 0, stop_at + 1), sources, shares, seed)
-    drawn = drawn.withColumn("_block", F.floor(F.col("_draw") / block).cast("bigint"))
-    nth = F.row_number().over(Window.partitionBy("_block", SRC).orderBy("_draw"))
     drawn = (
-        drawn.withColumn("_nth", nth)
+        drawn.withColumn("_block", F.floor(F.col("_draw") / block).cast("bigint"))
+        .withColumn("_nth", nth)
         .join(counts.select("_block", SRC, "_before"), ["_block", SRC])
         .select(SRC, (F.col("_before") + F.col("_nth") - 1).alias("_pick"), "_draw")
     )
@@ -240,4 +247,5 @@ def _draws(spark, lengths, shares, seed, stop, block):
 
 def _block_draws(spark, number, block, end, sources, shares, seed) -> DataFrame:
     whole = _draw_range(spark, number * block, min((number + 1) * block, end))
-    return _with_source(whole, sources, shares, seed)
+    numbered = _with_source(whole, sources, shares, seed)
+    return numbered.withColumn("_block", F.lit(number).cast("bigint"))

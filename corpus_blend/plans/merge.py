@@ -116,37 +116,38 @@ class Blend:
         self.spark, self.spec, self.out = spark, spec, spec.output
         out = self.out
         frames, self.formats = _standardized(spark, spec)
-        rows = measured(concatenate(frames), out)
-        picks = None
+        self.staged = stage(measured(concatenate(frames), out), "standardized")
+        self.kept = length_bounds(F.col("_length"), out.min_length, out.max_length)
+        roles = ["_roles"] if out.target_format == CHATML else []
+        facts = [*POSITION, "_hash", "_length", "_blank", *roles, *PROVENANCE]
+        narrow = self.staged.select(*facts, F.struct(*POSITION).alias("_origin"))
+        self.picks = None
         if out.mode == "interleave":
-            self.staged = dense_index(rows, POSITION, within=SRC)
+            self.indexed = dense_index(narrow, POSITION, within=SRC)
             # deduplicating keeps no second copy of a row, so none needs to be made
-            copies = 1 if out.dedupe else None
-            self.rows, picks = self._interleaved(copies)
-        else:
-            self.staged = self.rows = stage(rows, "standardized")
-        self.kept = length_bounds(F.col("_length"), out.min_length, out.max_length)
+            narrow, self.picks = self._interleaved(self.indexed, 1 if out.dedupe else None)
+        self.narrow = narrow.where(self.kept)
         self.sources = self._source_report()
-        self.rows_before = sum(picks.values()) if picks is not None else sum(
-            s["rows"] for s in self.sources
+        self.rows_before = sum(
+            self.picks.values() if self.picks is not None else [s["rows"] for s in self.sources]
         )
-        self.rows_after = self._rows_after(picks)
+        self.rows_after = self._rows_after()
         self.survivors = self._survivors()
-        facts = self.survivors.agg(
+        totals = self.survivors.agg(
             F.count("*").alias("n"),
             F.coalesce(F.sum("_length"), F.lit(0)).alias("chars"),
             F.coalesce(F.max("_copies"), F.lit(0)).alias("most_copies"),
         ).first()
-        self.n_final, self.n_chars, self.most_copies = facts
+        self.n_final, self.n_chars, self.most_copies = totals
         self.identity = ["_hash"] if out.dedupe else list(POSITION)
         self.in_test = split_condition(
             self.survivors, out.train_test_split, out.seed, self.identity
         )
 
-    def _interleaved(self, copies: int | None) -> tuple[DataFrame, dict[int, int]]:
+    def _interleaved(self, indexed: DataFrame, copies: int | None):
         out = self.out
         return interleave_indexed(
-            self.staged, out.probabilities, out.seed, out.stopping_strategy, copies
+            indexed, out.probabilities, out.seed, out.stopping_strategy, copies
         )
 
     def _source_report(self) -> list[dict]:
@@ -173,34 +174,27 @@ class Blend:
             )
         return report
 
-    def _rows_after(self, picks: dict[int, int] | None) -> int:
+    def _rows_after(self) -> int:
         """Rows within the length bounds; of interleaved rows, every copy counts."""
         if self.out.min_length is None and self.out.max_length is None:
             return self.rows_before
-        within = self.staged.where(self.kept)
-        if picks is None:
-            return within.count()
+        if self.picks is None or not self.out.dedupe:
+            return self.narrow.count()
         copies = F.lit(0)
-        for source, n in picks.items():
+        for source, n in self.picks.items():
             more = F.floor((F.lit(n - 1) - F.col("_index")) / self.sources[source]["rows"])
             used = (F.col(SRC) == source) & (F.col("_index") < n)
             copies = F.when(used, more + 1).otherwise(copies)
+        within = self.indexed.where(self.kept)
         return within.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
 
-    def _narrow(self) -> DataFrame:
-        roles = ["_roles"] if self.out.target_format == CHATML else []
-        return self.rows.where(self.kept).select(
-            *POSITION, "_hash", "_length", "_blank", *roles, *PROVENANCE
-        )
-
     def _survivors(self) -> DataFrame:
         """What is known of each final row but its text; ``_copies`` counts equal rows."""
-        narrow = self._narrow()
         if not self.out.dedupe:
-            return stage(narrow.withColumn("_copies", F.lit(1).cast("bigint")), "survivors")
+            return stage(self.narrow.withColumn("_copies", F.lit(1).cast("bigint")), "survivors")
         position = F.struct(*POSITION)
-        facts = F.struct(*[c for c in narrow.columns if c != "_hash"])
-        first = narrow.groupBy("_hash").agg(
+        facts = F.struct(*[c for c in self.narrow.columns if c != "_hash"])
+        first = self.narrow.groupBy("_hash").agg(
             F.min_by(facts, position).alias("first"), F.count("*").alias("_copies")
         )
         return stage(first.select("_hash", "_copies", "first.*"), "survivors")
@@ -209,17 +203,24 @@ class Blend:
         """The first dropped rows: where they came from and how they begin."""
         if not self.out.dedupe or self.rows_after == self.n_final:
             return []
-        rows = self.rows
-        if self.out.mode == "interleave":
-            rows = self._interleaved(EXAMPLES + 1)[0]
-        narrow = rows.where(self.kept).select(*POSITION, "_hash")
+        narrow = self.narrow
+        if self.picks is not None:
+            narrow = self._interleaved(self.indexed, EXAMPLES + 1)[0].where(self.kept)
         rank = F.row_number().over(Window.partitionBy("_hash").orderBy(*POSITION))
-        dropped = narrow.withColumn("_rank", rank).where(f"_rank <= {EXAMPLES + 1}")
-        first = dropped.where("_rank > 1").orderBy(*POSITION).limit(EXAMPLES)
-        shown = rows.join(F.broadcast(first.select(*POSITION)), list(POSITION), "left_semi")
-        preview = row_preview(self.out.target_format).alias("preview")
-        found = shown.orderBy(*POSITION).select("source_dataset", preview).collect()
-        return [{"source": r[0], "preview": r[1]} for r in found]
+        ranked = narrow.select(*POSITION, "_hash", "_origin").withColumn("_rank", rank)
+        dropped = ranked.where(f"_rank <= {EXAMPLES + 1}").where("_rank > 1")
+        first = dropped.orderBy(*POSITION).limit(EXAMPLES)
+        shown = self.staged.select(
+            F.struct(*POSITION).alias("_origin"),
+            "source_dataset",
+            row_preview(self.out.target_format).alias("preview"),
+        )
+        # EXAMPLES rows at most
+        found = shown.join(F.broadcast(first), "_origin").orderBy(*POSITION)
+        return [
+            {"source": r["source_dataset"], "preview": r["preview"]}
+            for r in found.select("source_dataset", "preview").collect()
+        ]
 
     def partitions(self) -> int:
         """Output tasks, by the amount of text rather than by a fixed number."""
@@ -230,40 +231,62 @@ class Blend:
         limit = max(HOT_COPIES, self.rows_after // HOT_SETS)
         if self.most_copies <= limit:
             return rows
-        position = F.struct(*POSITION)
         # more than total / HOT_SETS copies each: there are HOT_SETS such rows at most
         hot = self.survivors.where(F.col("_copies") > limit).select(
-            "_hash", position.alias("_first")
+            "_hash", F.col("_origin").alias("_first")
         )
         marked = rows.join(F.broadcast(hot), "_hash", "left")
-        return marked.where(F.col("_first").isNull() | (F.col("_first") == position)).drop("_first")
+        return marked.where(F.col("_first").isNull() | (F.col("_first") == F.struct(*POSITION)))
+
+    def _in_slots(self, rows: DataFrame, partitions: int) -> DataFrame:
+        """Rows with their split, sent to the task that holds their range of the final order."""
+        number = hash_number(self.out.seed, key_text(self.identity))
+        rows = rows.withColumn("_order", number).withColumn("split", self._split())
+        rows = rows.withColumn("_slot", hash_slot(F.col("_order"), partitions))
+        return rows.repartitionById(partitions, F.col("_slot"))
 
     def final(self, partitions: int | None = None) -> DataFrame:
         """The final rows with their split, in final order."""
         out = self.out
         columns = [*target_columns(out.target_format), "split"]
-        rows = self.rows.where(self.kept)
         partitions = partitions or self.partitions()
-        number = hash_number(out.seed, key_text(self.identity))
-        rows = rows.withColumn("_order", number).withColumn("split", self._split())
+        if out.shuffle and out.dedupe:
+            return self._first_in_slots(partitions).select(*columns)
+        rows = self._text_rows()
         if out.shuffle:
-            if out.dedupe:
-                rows = self._without_hot_copies(rows)
-            rows = rows.withColumn("_slot", hash_slot(F.col("_order"), partitions))
-            rows = rows.repartitionById(partitions, F.col("_slot"))
-            if not out.dedupe:
-                return rows.sortWithinPartitions("split", "_order", *POSITION).select(*columns)
-            # equal rows share a slot, so the exchange above also serves this window,
-            # and its sort is the order wanted
-            same = Window.partitionBy("split", "_slot", "_order", "_hash").orderBy(*POSITION)
-            ranked = rows.withColumn("_rank", F.row_number().over(same))
-            return ranked.where("_rank = 1").select(*columns)
+            placed = self._in_slots(rows, partitions)
+            return placed.sortWithinPartitions("split", "_order", *POSITION).select(*columns)
         if out.dedupe:
             same = Window.partitionBy("_hash").orderBy(*POSITION)
             rows = rows.withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
-        placed = rows.repartitionByRange(partitions, *POSITION)
+        placed = rows.withColumn("split", self._split()).repartitionByRange(partitions, *POSITION)
         return placed.sortWithinPartitions("split", *POSITION).select(*columns)
 
+    def _first_in_slots(self, partitions: int) -> DataFrame:
+        """Shuffled and deduplicated in one exchange of the text: equal rows share a slot, so
+        the exchange also serves the window, and its sort is the order wanted."""
+        rows = self._without_hot_copies(self.staged.where(self.kept))
+        same = Window.partitionBy("split", "_slot", "_order", "_hash")
+        if self.picks is None:
+            ranked = self._in_slots(rows, partitions).withColumn(
+                "_rank", F.row_number().over(same.orderBy(*POSITION))
+            )
+            return ranked.where("_rank = 1")
+        # which row comes first depends on the draws: the narrow table tells, as rows of its own
+        rows = rows.withColumn("_origin", F.struct(*POSITION))
+        marks = self.survivors.select("_hash", F.col("_origin").alias("_keep"))
+        both = self._in_slots(rows.unionByName(marks, allowMissingColumns=True), partitions)
+        marked = both.withColumn("_keep", F.first("_keep").over(same.orderBy("_origin")))
+        return marked.where(F.col("_origin") == F.col("_keep"))
+
+    def _text_rows(self) -> DataFrame:
+        """Rows with their text at their place in the merged order."""
+        if self.picks is None:
+            return self.staged.where(self.kept)
+        numbers = self.indexed.select(*POSITION, "_index")
+        rows = self.staged.join(numbers, list(POSITION))
+        return self._interleaved(rows, 1 if self.out.dedupe else None)[0].where(self.kept)
+
     def _split(self) -> Column:
         if self.in_test is None:
             return F.lit("train")
