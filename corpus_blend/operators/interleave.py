@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,35 +62,49 @@ def interleave(
     if weights is not None and len(weights) != len(frames):
         raise ValueError(f"{len(frames)} sources need as many weights, not {len(weights)}")
     indexed = dense_index(concatenate(frames), POSITION, within=SRC)
-    return interleave_indexed(indexed, weights, seed, stop, max_copies, block)[0]
+    plan = plan_picks(indexed.sparkSession, source_lengths(indexed), weights, seed, stop, block)
+    return pick_rows(indexed, plan, max_copies)
 
 
-def interleave_indexed(
-    indexed: DataFrame,
+def source_lengths(indexed: DataFrame) -> dict[int, int]:
+    """Rows per source; a source without rows takes no turns."""
+    return {r[SRC]: r["count"] for r in indexed.groupBy(SRC).count().collect()}
+
+
+class Picks(NamedTuple):
+    """Rows per source, picks per source, and by weight the draw each pick was made in."""
+
+    lengths: dict[int, int]
+    counts: dict[int, int]
+    draws: DataFrame | None
+
+
+def plan_picks(
+    spark: SparkSession,
+    lengths: dict[int, int],
     weights: Sequence[float] | None = None,
     seed=42,
     stop: str = ALL,
-    max_copies: int | None = None,
     block: int = BLOCK,
-) -> tuple[DataFrame, dict[int, int]]:
-    """As ``interleave``, over rows that already carry ``_src`` and ``_index``; also returns
-    the number of picks per source."""
+) -> Picks:
     check_stop(stop)
-    lengths = {r[SRC]: r["count"] for r in indexed.groupBy(SRC).count().collect()}
-    sources = sorted(lengths)  # a source without rows takes no turns
+    if not lengths:
+        return Picks({}, {}, None)
     if weights is None:
-        turns = (max if stop == ALL else min)(lengths.values()) if lengths else 0
-        picks = {s: turns for s in sources}
-        drawn = _picked(indexed, lengths, picks, max_copies)
-        rank = _by_source({s: i for i, s in enumerate(sources)})
-        place = F.col("_pick") * len(sources) + rank
-        return _repositioned(drawn, place), picks
-    shares = normalize_weights([weights[s] for s in sources], stop) if sources else []
-    picks, draws = _draws(indexed.sparkSession, lengths, shares, seed, stop, block)
-    drawn = _picked(indexed, lengths, picks, max_copies)
-    if draws is None:
-        return _repositioned(drawn, F.col("_pick")), picks
-    return _repositioned(drawn.join(draws, [SRC, "_pick"]), F.col("_draw")), picks
+        turns = (max if stop == ALL else min)(lengths.values())
+        return Picks(lengths, dict.fromkeys(lengths, turns), None)
+    shares = normalize_weights([weights[s] for s in sorted(lengths)], stop)
+    counts, draws = _draws(spark, lengths, shares, seed, stop, block)
+    return Picks(lengths, counts, draws)
+
+
+def pick_rows(indexed: DataFrame, plan: Picks, max_copies: int | None = None) -> DataFrame:
+    """Rows with ``_src`` and ``_index``, repeated and placed as planned."""
+    drawn = _picked(indexed, plan.lengths, plan.counts, max_copies)
+    if plan.draws is not None:
+        return _repositioned(drawn.join(plan.draws, [SRC, "_pick"]), F.col("_draw"))
+    rank = _by_source({s: i for i, s in enumerate(sorted(plan.lengths))})
+    return _repositioned(drawn, F.col("_pick") * len(plan.lengths) + rank)
 
 
 def _by_source(values: dict[int, int]) -> Column:
@@ -193,8 +208,6 @@ def _draws(spark, lengths, shares, seed, stop, block):
     gives the picks made before each block, so no draw waits for the others.
     """
     sources = sorted(lengths)
-    if not sources:
-        return {}, None
     share_of = dict(zip(sources, shares))
     end = _enough(lengths, share_of, stop)
     while True:

@@ -25,12 +25,12 @@ from corpus_blend.functions.chat import (
     row_length,
     row_preview,
 )
-from corpus_blend.functions.keys import POSITION, SRC, hash_number, key_text
+from corpus_blend.functions.keys import FILE, POSITION, ROW, SRC, hash_number, key_text, not_after
 from corpus_blend.operators.combine import concatenate
 from corpus_blend.operators.dedupe import EXAMPLES
 from corpus_blend.operators.detect import detect_format
 from corpus_blend.operators.filters import inject_system_prompt, length_bounds
-from corpus_blend.operators.interleave import interleave_indexed
+from corpus_blend.operators.interleave import pick_rows, plan_picks
 from corpus_blend.operators.report import (
     MERGED_EMPTY_RATE,
     SOURCE_EMPTY_RATE,
@@ -121,35 +121,34 @@ class Blend:
         roles = ["_roles"] if out.target_format == CHATML else []
         facts = [*POSITION, "_hash", "_length", "_blank", *roles, *PROVENANCE]
         narrow = self.staged.select(*facts, F.struct(*POSITION).alias("_origin"))
+        self.sources = self._source_report()
+        lengths = {i: s["rows"] for i, s in enumerate(self.sources) if s["rows"]}
+        self.rows_before = sum(lengths.values())
         self.picks = None
         if out.mode == "interleave":
             self.indexed = dense_index(narrow, POSITION, within=SRC)
+            self.picks = plan_picks(
+                spark, lengths, out.probabilities, out.seed, out.stopping_strategy
+            )
+            self.rows_before = sum(self.picks.counts.values())
             # deduplicating keeps no second copy of a row, so none needs to be made
-            narrow, self.picks = self._interleaved(self.indexed, 1 if out.dedupe else None)
+            self.copies = 1 if out.dedupe else None
+            narrow = pick_rows(self.indexed, self.picks, self.copies)
         self.narrow = narrow.where(self.kept)
-        self.sources = self._source_report()
-        self.rows_before = sum(
-            self.picks.values() if self.picks is not None else [s["rows"] for s in self.sources]
-        )
         self.rows_after = self._rows_after()
         self.survivors = self._survivors()
         totals = self.survivors.agg(
             F.count("*").alias("n"),
             F.coalesce(F.sum("_length"), F.lit(0)).alias("chars"),
+            F.coalesce(F.sum("_copies"), F.lit(0)).alias("copies"),
             F.coalesce(F.max("_copies"), F.lit(0)).alias("most_copies"),
         ).first()
-        self.n_final, self.n_chars, self.most_copies = totals
+        self.n_final, self.n_chars, self.n_copies, self.most_copies = totals
         self.identity = ["_hash"] if out.dedupe else list(POSITION)
         self.in_test = split_condition(
             self.survivors, out.train_test_split, out.seed, self.identity
         )
 
-    def _interleaved(self, indexed: DataFrame, copies: int | None):
-        out = self.out
-        return interleave_indexed(
-            indexed, out.probabilities, out.seed, out.stopping_strategy, copies
-        )
-
     def _source_report(self) -> list[dict]:
         counted = quality_of(
             self.staged, F.col("_blank_source"), SRC, SOURCE_EMPTY_RATE
@@ -181,7 +180,7 @@ class Blend:
         if self.picks is None or not self.out.dedupe:
             return self.narrow.count()
         copies = F.lit(0)
-        for source, n in self.picks.items():
+        for source, n in self.picks.counts.items():
             more = F.floor((F.lit(n - 1) - F.col("_index")) / self.sources[source]["rows"])
             used = (F.col(SRC) == source) & (F.col("_index") < n)
             copies = F.when(used, more + 1).otherwise(copies)
@@ -205,7 +204,7 @@ class Blend:
             return []
         narrow = self.narrow
         if self.picks is not None:
-            narrow = self._interleaved(self.indexed, EXAMPLES + 1)[0].where(self.kept)
+            narrow = pick_rows(self.indexed, self.picks, EXAMPLES + 1).where(self.kept)
         rank = F.row_number().over(Window.partitionBy("_hash").orderBy(*POSITION))
         ranked = narrow.select(*POSITION, "_hash", "_origin").withColumn("_rank", rank)
         dropped = ranked.where(f"_rank <= {EXAMPLES + 1}").where("_rank > 1")
@@ -228,7 +227,7 @@ class Blend:
 
     def _without_hot_copies(self, rows: DataFrame) -> DataFrame:
         """Drop the repeats of very frequent rows before they are all sent to one task."""
-        limit = max(HOT_COPIES, self.rows_after // HOT_SETS)
+        limit = max(HOT_COPIES, self.n_copies // HOT_SETS)
         if self.most_copies <= limit:
             return rows
         # more than total / HOT_SETS copies each: there are HOT_SETS such rows at most
@@ -265,7 +264,7 @@ class Blend:
     def _first_in_slots(self, partitions: int) -> DataFrame:
         """Shuffled and deduplicated in one exchange of the text: equal rows share a slot, so
         the exchange also serves the window, and its sort is the order wanted."""
-        rows = self._without_hot_copies(self.staged.where(self.kept))
+        rows = self._without_hot_copies(self.staged.where(self.kept & self._drawn_from()))
         same = Window.partitionBy("split", "_slot", "_order", "_hash")
         if self.picks is None:
             ranked = self._in_slots(rows, partitions).withColumn(
@@ -279,13 +278,30 @@ class Blend:
         marked = both.withColumn("_keep", F.first("_keep").over(same.orderBy("_origin")))
         return marked.where(F.col("_origin") == F.col("_keep"))
 
+    def _drawn_from(self) -> Column:
+        """Rows the draws can have reached: of a source left early, those up to a position."""
+        counts = self.picks.counts if self.picks else {}
+        left_early = {s: n for s, n in counts.items() if n < self.sources[s]["rows"]}
+        reached = F.lit(True)
+        if not left_early:
+            return reached
+        number = F.lit(None)
+        for s, n in left_early.items():
+            number = F.when(F.col(SRC) == s, n - 1).otherwise(number)
+        # one row per source
+        last = self.indexed.where(F.col("_index") == number).select(*POSITION).collect()
+        ends = {r[SRC]: not_after([FILE, ROW], [r[FILE], r[ROW]]) for r in last}
+        for s in left_early:
+            reached = F.when(F.col(SRC) == s, ends.get(s, F.lit(False))).otherwise(reached)
+        return reached
+
     def _text_rows(self) -> DataFrame:
         """Rows with their text at their place in the merged order."""
         if self.picks is None:
             return self.staged.where(self.kept)
         numbers = self.indexed.select(*POSITION, "_index")
-        rows = self.staged.join(numbers, list(POSITION))
-        return self._interleaved(rows, 1 if self.out.dedupe else None)[0].where(self.kept)
+        rows = self.staged.where(self._drawn_from()).join(numbers, list(POSITION))
+        return pick_rows(rows, self.picks, self.copies).where(self.kept)
 
     def _split(self) -> Column:
         if self.in_test is None:

@@ -231,6 +231,9 @@ JOBS = [
     {"mode": "interleave", "max_length": 8},
     {"mode": "interleave", "dedupe": False, "min_length": 2, "train_test_split": 0.5},
     {"mode": "interleave", "probabilities": [3, 1], "seed": 5},
+    {"mode": "interleave", "stopping_strategy": "first_exhausted", "normalize_dedupe": True},
+    {"mode": "interleave", "probabilities": [1, 3], "stopping_strategy": "first_exhausted"},
+    {"mode": "interleave", "probabilities": [1, 3], "shuffle": False, "max_length": 9},
     {"mode": "interleave", "probabilities": [3, 1], "dedupe": False, "stopping_strategy": "first_exhausted"},
 ]
 
@@ -293,7 +296,7 @@ def test_hot_copies_are_dropped_before_the_exchange(spark, tmp_path, monkeypatch
     path.write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
     monkeypatch.setattr(merge, "HOT_COPIES", 10)
     blend = merge.Blend(spark, MergeSpec.from_dict({"datasets": [{"local_path": str(path)}]}))
-    rows = blend._without_hot_copies(blend.rows)
+    rows = blend._without_hot_copies(blend.staged)
     assert rows.where(F.col("messages")[0].content == "hot").count() == 1
     assert rows.where(F.col("messages")[0].content == "warm").count() == 3
     assert sorted(r.messages[0].content for r in blend.final(3).collect()) == sorted(set(texts))
