@@ -13,7 +13,7 @@ from corpus_blend.functions.chat import row_length
 from corpus_blend.operators import report
 from corpus_blend.plans.merge import Blend
 from corpus_blend.plans.spec import MergeSpec
-from corpus_blend.sinks.files import save
+from corpus_blend.sinks.files import preview, save
 from corpus_blend.sources.load import load_file, load_source
 from corpus_blend.staging import new_folder
 from corpus_blend.streaming.ingest import ingest
@@ -315,6 +315,11 @@ def source_counts(spark, sf_dir):
     return report.source_counts(_reported(spark, sf_dir))
 
 
+def source_report(spark, sf_dir):
+    formats = {"chats": "chatml", "tasks": "alpaca", "texts": "text", "answers": "qa"}
+    return report.source_report(_reported(spark, sf_dir), "chatml", formats)
+
+
 def role_counts(spark, sf_dir):
     return report.role_counts(_reported(spark, sf_dir))
 
@@ -452,6 +457,14 @@ def write_round_trip(spark, sf_dir):
     return reduce(DataFrame.unionByName, frames)
 
 
+def saved_preview(spark, sf_dir):
+    """The first rows of a saved folder whose files are in order."""
+    docs = d.table(spark, sf_dir, "documents").select("doc_id", "text")
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    folder = save(ordered, new_folder(spark, "saved"), ["jsonl"])["jsonl"]
+    return preview(spark, folder)
+
+
 def stream_ingest(spark, sf_dir):
     """The same texts standardized as a stream of files."""
     schema = "doc_id bigint, text string"
@@ -540,6 +553,7 @@ def queries() -> dict:
         "quality_by_source": quality_by_source,
         "quality_overall": quality_overall,
         "quality_preference": quality_preference,
+        "source_report": source_report,
         "source_counts": source_counts,
         "role_counts": role_counts,
         "length_histogram": length_histogram,
@@ -558,5 +572,6 @@ def queries() -> dict:
         "read_parquet_order": read_parquet_order,
         "read_table": read_table,
         "write_round_trip": write_round_trip,
+        "saved_preview": saved_preview,
         "stream_ingest": stream_ingest,
     }

@@ -475,6 +475,12 @@ clean AS (SELECT *, lower(trim(regexp_replace(text, '{SPACES}', ' ', 'g'))) AS p
         "quality_by_source": _with(
             *CHATS_TASKS_TEXTS, select=_rate("merged", ANSWER_BLANK, 0.05, LABELS)
         ),
+        "source_report": _with(
+            *CHATS_TASKS_TEXTS,
+            select=f"""SELECT *, CASE source_dataset WHEN 'chats' THEN 'chatml' WHEN 'tasks' THEN 'alpaca'
+  WHEN 'texts' THEN 'text' ELSE 'qa' END AS format
+FROM ({_rate("merged", ANSWER_BLANK, 0.05, LABELS)})""",
+        ),
         "quality_overall": _with(*CHATS_TASKS_TEXTS, select=_rate("merged", ANSWER_BLANK, 0.02)),
         "quality_preference": _with(
             PAIRS, select=_rate("pairs", "trim(chosen) = '' OR trim(rejected) = ''", 0.05, "'pairs'")
@@ -504,5 +510,6 @@ clean AS (SELECT *, lower(trim(regexp_replace(text, '{SPACES}', ' ', 'g'))) AS p
     <= greatest(1, floor(count(*) OVER () * {SHARE}::DOUBLE)) AS chosen
   FROM documents WHERE doc_id % 4 <> 0) WHERE chosen""",
         "write_round_trip": SAVED,
+        "saved_preview": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50",
         "stream_ingest": assistant,
     }

@@ -98,6 +98,15 @@ def merge_statistics(df: DataFrame, target: str) -> dict[str, DataFrame]:
     return tables
 
 
+def source_report(df: DataFrame, target: str, formats: dict[str, str]) -> DataFrame:
+    """Per source: the layout it was read as, its rows and how many are blank."""
+    counted = quality(df, target, "source_dataset")
+    layout = F.lit(None).cast("string")
+    for label, fmt in formats.items():
+        layout = F.when(F.col("source_dataset") == label, fmt).otherwise(layout)
+    return counted.withColumn("format", layout)
+
+
 # --- before merging ----------------------------------------------------------------
 
 

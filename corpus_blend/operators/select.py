@@ -18,7 +18,7 @@ from corpus_blend.functions.keys import (
 )
 from corpus_blend.staging import stage
 
-STEP_BITS = 16  # a counting pass returns at most 2^16 rows to the driver
+STEP_BITS = 12  # a counting pass has 2^12 groups, in each task and on the driver
 SMALL = 10_000  # a group of at most this many keys is finished by an ordered take
 ORDERED_TAKE = 100_000  # first_rows sorts all keys beyond this many rows
 BROADCAST_ROWS = 200_000  # about 10 MB of partition offsets

@@ -51,6 +51,9 @@ from corpus_blend.sources.load import load_source
 from corpus_blend.staging import stage
 
 CHARS_PER_PARTITION = 256_000_000
+FEWEST_CHARS = 8_000_000  # less than this is not worth a task of its own
+MOST_PARTITIONS = 50_000  # beyond, partitions grow: their sort spills, more blocks would not fit
+ROWS_PER_SHUFFLE_TASK = 5_000_000
 HOT_COPIES = 1_000
 HOT_SETS = 50_000  # sets above total / HOT_SETS rows: there cannot be more than this many
 
@@ -109,6 +112,14 @@ def measured(merged: DataFrame, out: OutputSpec) -> DataFrame:
     )
 
 
+def _fit_shuffles(spark: SparkSession, rows: int) -> None:
+    """Raise the session's shuffle partitions where the narrow rows of this job need more."""
+    name = "spark.sql.shuffle.partitions"
+    needed = min(MOST_PARTITIONS, math.ceil(rows / ROWS_PER_SHUFFLE_TASK))
+    if needed > int(spark.conf.get(name)):
+        spark.conf.set(name, needed)
+
+
 class Blend:
     """A merge worked out up to its final rows: narrow tables first, text on demand."""
 
@@ -124,6 +135,7 @@ class Blend:
         self.sources = self._source_report()
         lengths = {i: s["rows"] for i, s in enumerate(self.sources) if s["rows"]}
         self.rows_before = sum(lengths.values())
+        _fit_shuffles(spark, self.rows_before)
         self.picks = None
         if out.mode == "interleave":
             self.indexed = dense_index(narrow, POSITION, within=SRC)
@@ -223,7 +235,10 @@ class Blend:
 
     def partitions(self) -> int:
         """Output tasks, by the amount of text rather than by a fixed number."""
-        return max(1, math.ceil(self.n_chars / CHARS_PER_PARTITION))
+        whole = math.ceil(self.n_chars / CHARS_PER_PARTITION)
+        cores = self.spark.sparkContext.defaultParallelism
+        busy = min(cores, math.ceil(self.n_chars / FEWEST_CHARS))
+        return max(1, min(whole, MOST_PARTITIONS), busy)
 
     def _without_hot_copies(self, rows: DataFrame) -> DataFrame:
         """Drop the repeats of very frequent rows before they are all sent to one task."""

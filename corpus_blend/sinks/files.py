@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_blend.functions.keys import POSITION
+from corpus_blend.operators.position import with_position
+from corpus_blend.operators.select import peek
 from corpus_blend.plans.spec import SAVE_FORMATS
 
 SPLIT = "split"
@@ -58,8 +61,16 @@ def publish(df: DataFrame, table: str, partition: str | None = SPLIT) -> None:
 
 
 def preview(spark: SparkSession, folder: str, n: int = 50) -> DataFrame:
-    """The first rows of a saved JSON Lines folder, reading no more files than needed."""
-    listed = f"[{','.join(r.value for r in spark.read.text(folder).limit(n).collect())}]"
+    """The first n rows of a saved JSON Lines folder, from its first files only."""
+    files = sorted(spark.read.text(folder).inputFiles())
+    opened, lines = 1, []
+    while True:
+        rows = with_position(spark.read.text(files[:opened]))
+        lines = [r["value"] for r in peek(rows, n, POSITION).collect()]
+        if len(lines) >= n or opened >= len(files):
+            break
+        opened *= 2
+    listed = f"[{','.join(lines)}]"
     schema = spark.range(1).select(F.schema_of_json(F.lit(listed))).first()[0]
     return spark.createDataFrame([(listed,)], "rows string").select(
         F.inline(F.from_json("rows", schema))
