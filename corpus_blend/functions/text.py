@@ -194,14 +194,24 @@ def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Co
 # --- small text helpers -----------------------------------------------------------
 
 
-# runs of whitespace other than one plain space, which is most of them and stays as it is
-_UNEVEN_RUN = f" *[{OTHER_SPACES}][{WHITESPACE}]*| {{2,}}"
+# whitespace but the plain space; the range in front rules most characters out at once
+_BREAK = f"[[\\x00-\\x1f\\x{{85}}-\\x{{3000}}]&&[{OTHER_SPACES}]]"
+_MARK = "\x1c"  # whitespace itself, so none is left when it is used
+
+
+def _single_spaces(col: Column) -> Column:
+    """Runs of spaces to one: each space gets a mark behind it, marks before a space take that
+    space with them, the others go. Plain replacements are several times faster than a pattern."""
+    space, mark, nothing = F.lit(" "), F.lit(_MARK), F.lit("")
+    marked = F.replace(col, space, F.lit(" " + _MARK))
+    first = F.replace(marked, F.lit(_MARK + " "), nothing)
+    return F.when(F.contains(col, F.lit("  ")), F.replace(first, mark, nothing)).otherwise(col)
 
 
 def normalize_text(col: Column) -> Column:
     """Whitespace runs to one space, no space at the ends, lower case."""
-    even = F.regexp_replace(F.coalesce(col, F.lit("")), _UNEVEN_RUN, " ")
-    return F.lower(F.trim(even))
+    spaced = F.regexp_replace(F.coalesce(col, F.lit("")), _BREAK, " ")
+    return F.lower(F.trim(_single_spaces(spaced)))
 
 
 def is_blank(col: Column) -> Column:

@@ -193,6 +193,19 @@ def test_hot_copies_shrink_before_the_exchange(spark):
     assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
 
 
+def test_normalized_text(spark):
+    from corpus_blend.functions.text import is_blank, normalize_text
+
+    spaces = [chr(i) for i in range(0x10000) if chr(i).isspace()]
+    others = ["\u200b", "\u2060", "\ufeff", "\x00", "\x0e", "\x84", "é", "İ", "ß", "Σ", "漢"]
+    values = [f"A{s}{s} {s}b{s}" for s in spaces] + [f" a{o}{o}  B" for o in others]
+    values += ["", " ", "  \n\t ", " " * 1001 + "x", "x" + " \x1c " * 3 + "y", None, *spaces, *others]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for r in df.select("v", normalize_text(F.col("v")).alias("n"), is_blank(F.col("v")).alias("b")).collect():
+        assert r.n == " ".join((r.v or "").split()).lower(), repr(r.v)
+        assert r.b == (not (r.v or "").strip()), repr(r.v)
+
+
 # --- choosing and ordering --------------------------------------------------------
 
 
