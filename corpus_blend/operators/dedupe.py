@@ -11,10 +11,19 @@ from corpus_blend.functions.keys import POSITION, as_list
 EXAMPLES = 3
 
 
-def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_digest").orderBy(*order))
-    )
+def _ranked(df: DataFrame, digest: str, order: list[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(digest).orderBy(*order))
+    return df.withColumn("_rank", rank)
+
+
+def first_dropped(keys: DataFrame, digest: str, order=POSITION, limit: int = EXAMPLES) -> DataFrame:
+    """The first ``limit`` of the rows that are not the first of their digest.
+
+    None of them ranks beyond ``limit + 1`` in its set, so later ranks need not be kept.
+    """
+    order = as_list(order)
+    near = _ranked(keys, digest, order).where(f"_rank <= {limit + 1}")
+    return near.where("_rank > 1").drop("_rank").orderBy(*order).limit(limit)
 
 
 def dedupe(
@@ -26,7 +35,7 @@ def dedupe(
     exchange, so a task sends at most one row per set however often it occurs.
     """
     digest = F.unhex(row_hash(target, normalize, strict))
-    ranked = _ranked(df.withColumn("_digest", digest), as_list(order))
+    ranked = _ranked(df.withColumn("_digest", digest), "_digest", as_list(order))
     return ranked.where("_rank = 1").drop("_rank", "_digest")
 
 
@@ -40,14 +49,11 @@ def duplicates(
 ) -> DataFrame:
     """The first ``limit`` rows that ``dedupe`` drops: position, source and opening text.
 
-    Only hashes and positions are exchanged. Among the first ``limit`` dropped
-    rows none ranks beyond ``limit + 1`` in its set, so later ranks need not be kept.
+    Only hashes and positions are exchanged.
     """
     order = as_list(order)
     digest = F.unhex(row_hash(target, normalize, strict)).alias("_digest")
-    ranked = _ranked(df.select(*order, digest), order)
-    dropped = ranked.where(f"_rank <= {limit + 1}").where("_rank > 1").select(*order)
-    first = dropped.orderBy(*order).limit(limit)
+    first = first_dropped(df.select(*order, digest), "_digest", order, limit).select(*order)
     shown = df.select(*order, "source_dataset", row_preview(target).alias("preview"))
     # at most ``limit`` rows, whatever the size of the data
     return shown.join(F.broadcast(first), order, "left_semi")

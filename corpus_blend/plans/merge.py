@@ -27,7 +27,7 @@ from corpus_blend.functions.chat import (
 )
 from corpus_blend.functions.keys import FILE, POSITION, ROW, SRC, hash_number, key_text, not_after
 from corpus_blend.operators.combine import concatenate
-from corpus_blend.operators.dedupe import EXAMPLES
+from corpus_blend.operators.dedupe import EXAMPLES, first_dropped
 from corpus_blend.operators.detect import detect_format
 from corpus_blend.operators.filters import inject_system_prompt, length_bounds
 from corpus_blend.operators.interleave import pick_rows, plan_picks
@@ -217,10 +217,7 @@ class Blend:
         narrow = self.narrow
         if self.picks is not None:
             narrow = pick_rows(self.indexed, self.picks, EXAMPLES + 1).where(self.kept)
-        rank = F.row_number().over(Window.partitionBy("_hash").orderBy(*POSITION))
-        ranked = narrow.select(*POSITION, "_hash", "_origin").withColumn("_rank", rank)
-        dropped = ranked.where(f"_rank <= {EXAMPLES + 1}").where("_rank > 1")
-        first = dropped.orderBy(*POSITION).limit(EXAMPLES)
+        first = first_dropped(narrow.select(*POSITION, "_hash", "_origin"), "_hash")
         shown = self.staged.select(
             F.struct(*POSITION).alias("_origin"),
             "source_dataset",

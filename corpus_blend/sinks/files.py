@@ -77,49 +77,41 @@ def preview(spark: SparkSession, folder: str, n: int = 50) -> DataFrame:
     )
 
 
+def _table(head: Sequence[str], rows: Sequence[Sequence]) -> list[str]:
+    def line(cells):
+        return "| " + " | ".join(f"{c:,}" if isinstance(c, int) else str(c) for c in cells) + " |"
+
+    return [line(head), "|" + "---|" * len(head), *map(line, rows), ""]
+
+
 def card_text(summary: dict) -> str:
-    """The dataset card: sources, counters, splits and the share of blank rows."""
-    out = [
-        "---",
-        "tags:",
-        "- merged",
-        "---",
-        "",
-        "# Merged dataset",
-        "",
-        f"{len(summary['sources'])} sources, target `{summary['target_format']}`, "
-        f"mode `{summary['mode']}`.",
-        "",
-        "## Sources",
-        "",
-        "| Source | Format | Rows read | Rows kept | Blank rows |",
-        "|---|---|---|---|---|",
-    ]
+    """The dataset card: sources, row counts step by step, splits and blank rows."""
     kept = summary["source_counts"]
-    for s in summary["sources"]:
-        out.append(
-            f"| `{s['source']}` | {s['format']} | {s['rows']:,} | {kept.get(s['source'], 0):,} "
-            f"| {s['quality']['empty_rows']:,} ({s['quality']['empty_rate']:.1%}) |"
+    sources = [
+        (
+            f"`{s['source']}`",
+            s["format"],
+            s["rows"],
+            kept.get(s["source"], 0),
+            f"{s['quality']['empty_rate']:.1%}",
         )
-    splits = ", ".join(f"{name} ({n:,})" for name, n in summary["splits"].items())
-    blank = summary["quality"]
-    out += [
-        "",
-        "## Steps",
-        "",
-        f"- Rows before filters: {summary['rows_before_filters']:,}",
-        f"- Rows after filters: {summary['rows_after_filters']:,}",
-        f"- Duplicates removed: {summary['duplicates_removed']:,}",
-        f"- Final rows: {summary['final_rows']:,}",
-        f"- Splits: {splits}",
+        for s in summary["sources"]
     ]
-    if summary["system_prompt_injected"]:
-        out.append("- System prompt injected: yes")
-    out.append(
-        f"- Blank rows: {blank['empty_rows']:,} of {blank['sample_size']:,} "
-        f"({blank['empty_rate']:.1%})"
-    )
-    return "\n".join(out) + "\n"
+    steps = [
+        ("combined", summary["rows_before_filters"]),
+        ("within the length bounds", summary["rows_after_filters"]),
+        ("repeats dropped", summary["duplicates_removed"]),
+        ("in the result", summary["final_rows"]),
+        *((f"in split {name}", n) for name, n in summary["splits"].items()),
+        ("of these blank", summary["quality"]["empty_rows"]),
+    ]
+    prompt = "A system prompt opens every chat." if summary["system_prompt_injected"] else ""
+    lines = ["---", "tags:", "- merged", "---", ""]
+    lines += [f"# {len(sources)} sources as {summary['target_format']}", ""]
+    lines += [f"Combined by `{summary['mode']}`. {prompt}".strip(), ""]
+    lines += _table(("source", "read as", "rows read", "rows kept", "blank"), sources)
+    lines += _table(("rows", "count"), steps)
+    return "\n".join(lines)
 
 
 def write_card(spark: SparkSession, path: str, summary: dict) -> str:

@@ -274,7 +274,7 @@ def test_merge(spark, files, tmp_path, out):
     assert [s["quality"]["empty_rows"] for s in summary["sources"]] == [0, sum(not t.strip() for t in TEXTS)]
     card = spark.read.text(summary["dataset_card"], wholetext=True).first()[0]
     assert card.strip() == card_text(summary).strip()
-    assert ("System prompt injected" in card) == bool(out.get("system_prompt"))
+    assert ("system prompt" in card) == bool(out.get("system_prompt"))
 
 
 def test_final_order(spark, files):
