@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpus_blend import dense_index, with_position
 
 TURN_BITS = 32
+MOST_LANGUAGES = 10_000
 LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -174,8 +175,9 @@ def preference(spark, sf_dir) -> DataFrame:
     bad = numbered.where("quality = 0").select(
         "lang", F.col("_index").alias("b"), F.col("text").alias("rejected")
     )
-    # one count per language
     sizes = bad.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.count() <= MOST_LANGUAGES:  # so that no language's rows meet in one task
+        sizes = F.broadcast(sizes)
     pairs = (
         good.join(sizes, "lang")
         .withColumn("b", F.col("r") % F.col("n"))

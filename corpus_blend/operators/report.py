@@ -132,10 +132,6 @@ def inspect_source(
     )
 
 
-def inspect_frames(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [inspect_source(df, label) for label, df in sources])
-
-
 def _absent(df: DataFrame, name: str) -> Column:
     column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, T.StringType):

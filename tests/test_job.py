@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,6 +309,20 @@ def test_text_moves_once(spark, files):
     assert plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("weights", [None, [2, 1]])
+def test_interleaved_text_moves_once(spark, files, weights):
+    out = {"mode": "interleave", "probabilities": weights}
+    spec = MergeSpec.from_dict({"datasets": [{"local_path": f} for f in files], "output": out})
+    plan = merge.Blend(spark, spec).final(4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_example_config():
+    spec = load_config(os.path.join(os.path.dirname(__file__), "..", "examples", "config.yaml"))
+    assert [s.label for s in spec.sources] == ["/data/chats", "/data/answers/*.jsonl", "corpus.raw_texts"]
+    assert spec.output.push_to_hub is None
+
+
 def test_several_formats_and_a_table(spark, files, tmp_path):
     spec = MergeSpec.from_dict(
         {

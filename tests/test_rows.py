@@ -307,6 +307,13 @@ def test_histogram(spark):
     assert [(r.bin, r.n_rows, r.shortest, r.longest) for r in same] == [(1, 2, 2, 2)]
 
 
+def test_merge_statistics(spark):
+    rows = cb.concatenate([texts(spark, ["a", "bb"], "x"), texts(spark, ["ccc"], "y")])
+    tables = report.merge_statistics(rows, "text")
+    assert {tuple(r) for r in tables["source_counts"].collect()} == {("x", 2), ("y", 1)}
+    assert sum(r.n_rows for r in tables["lengths"].collect()) == 3 and "role_counts" not in tables
+
+
 def test_profile(spark):
     df = spark.createDataFrame(
         [("q", None), ("", "[{x"), (" ", " ")], "question string, answer string"
