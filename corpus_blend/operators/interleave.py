@@ -26,6 +26,8 @@ ALL, FIRST = "all_exhausted", "first_exhausted"
 BLOCK = 1 << 20  # draws counted together
 CHUNK = 1 << 16  # copies of a row made at once
 ROWS_PER_TASK = 1_000_000
+DRAWS_PER_TASK = 10_000_000
+MOST_TASKS = 50_000
 
 
 def normalize_weights(weights: Sequence[float], stop: str = ALL) -> list[float]:
@@ -158,7 +160,8 @@ def _picked(
         for s in repeating
     )
     if rows > rows_per_task:
-        many = many.repartition(math.ceil(rows / rows_per_task), SRC, "_index", "_chunk")
+        tasks = min(math.ceil(rows / rows_per_task), MOST_TASKS)
+        many = many.repartition(tasks, SRC, "_index", "_chunk")
     first = F.col("_chunk") * chunk
     last = F.least(F.col("_copies"), first + chunk) - 1
     many = (
@@ -187,7 +190,7 @@ def _with_source(draws: DataFrame, sources: list[int], shares: list[float], seed
 
 
 def _draw_range(spark: SparkSession, start: int, end: int) -> DataFrame:
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / ROWS_PER_TASK))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / DRAWS_PER_TASK))
     return spark.range(start, end, 1, tasks).withColumnRenamed("id", "_draw")
 
 

@@ -107,7 +107,7 @@ def measured(merged: DataFrame, out: OutputSpec) -> DataFrame:
         {
             "_length": row_length(target),
             "_blank": row_is_blank(target),
-            "_hash": row_hash(target, out.normalize_dedupe, out.strict_dedupe),
+            "_hash": F.unhex(row_hash(target, out.normalize_dedupe, out.strict_dedupe)),
         }
     )
 
@@ -156,11 +156,16 @@ class Blend:
             F.coalesce(F.max("_copies"), F.lit(0)).alias("most_copies"),
         ).first()
         self.n_final, self.n_chars, self.n_copies, self.most_copies = totals
-        self.identity = ["_hash"] if out.dedupe else list(POSITION)
         self.in_test = split_condition(
-            self.survivors, out.train_test_split, out.seed, self.identity
+            self._identified(self.survivors), out.train_test_split, out.seed, "_id"
         )
 
+    def _identified(self, rows: DataFrame) -> DataFrame:
+        """With the text that random choices hash: the content's hash, or the position where
+        equal rows stay."""
+        content = F.lower(F.hex("_hash"))
+        return rows.withColumn("_id", content if self.out.dedupe else key_text(POSITION))
+
     def _source_report(self) -> list[dict]:
         counted = quality_of(
             self.staged, F.col("_blank_source"), SRC, SOURCE_EMPTY_RATE
@@ -251,8 +256,9 @@ class Blend:
 
     def _in_slots(self, rows: DataFrame, partitions: int) -> DataFrame:
         """Rows with their split, sent to the task that holds their range of the final order."""
-        number = hash_number(self.out.seed, key_text(self.identity))
-        rows = rows.withColumn("_order", number).withColumn("split", self._split())
+        number = hash_number(self.out.seed, F.col("_id"))
+        rows = self._identified(rows).withColumn("_order", number)
+        rows = rows.withColumn("split", self._split())
         rows = rows.withColumn("_slot", hash_slot(F.col("_order"), partitions))
         return rows.repartitionById(partitions, F.col("_slot"))
 
@@ -270,7 +276,8 @@ class Blend:
         if out.dedupe:
             same = Window.partitionBy("_hash").orderBy(*POSITION)
             rows = rows.withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
-        placed = rows.withColumn("split", self._split()).repartitionByRange(partitions, *POSITION)
+        rows = self._identified(rows).withColumn("split", self._split())
+        placed = rows.repartitionByRange(partitions, *POSITION)
         return placed.sortWithinPartitions("split", *POSITION).select(*columns)
 
     def _first_in_slots(self, partitions: int) -> DataFrame:
@@ -321,9 +328,7 @@ class Blend:
         return F.when(self.in_test, "test").otherwise("train")
 
     def splits(self) -> dict[str, int]:
-        labelled = self.survivors.withColumn(
-            "_order", hash_number(self.out.seed, key_text(self.identity))
-        ).withColumn("split", self._split())
+        labelled = self._identified(self.survivors).withColumn("split", self._split())
         counts = {r["split"]: r["count"] for r in labelled.groupBy("split").count().collect()}
         names = ["train"] if self.in_test is None else ["train", "test"]
         return {name: counts.get(name, 0) for name in names}

@@ -286,7 +286,7 @@ def test_final_order(spark, files):
     wide = [(r.split, r.messages) for r in blend.final(5).collect()]
     for split in ("train", "test"):
         assert [m for s, m in wide if s == split] == [m for s, m in rows if s == split]
-    hashes = {tuple(map(tuple, r.messages)): r._hash for r in blend.staged.collect()}
+    hashes = {tuple(map(tuple, r.messages)): r._hash.hex() for r in blend.staged.collect()}
     train = [number(42, hashes[tuple(map(tuple, m))]) for s, m in rows if s == "train"]
     assert train == sorted(train)
 
