@@ -423,6 +423,15 @@ def read_parquet_order(spark, sf_dir):
     return cb.first_rows(rows, HEAD).select("doc_id", "text")
 
 
+def read_capped(spark, sf_dir):
+    """The first rows of many files; only the first files are opened."""
+    ordered = _documents(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    folder = save(ordered, new_folder(spark, "files"), ["jsonl"], None)["jsonl"]
+    entry = {"local_path": folder, "reader": "jsonl", "streaming": True, "max_samples": HEAD}
+    spec = MergeSpec.from_dict({"datasets": [entry]}).sources[0]
+    return load_source(spark, spec).select("doc_id", "text")
+
+
 def read_table(spark, sf_dir):
     """A catalog table, its split chosen by a column, capped and sampled as configured."""
     halves = F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split")
@@ -570,6 +579,7 @@ def queries() -> dict:
         "read_jsonl": _read_back("jsonl"),
         "read_json": read_json,
         "read_parquet_order": read_parquet_order,
+        "read_capped": read_capped,
         "read_table": read_table,
         "write_round_trip": write_round_trip,
         "saved_preview": saved_preview,

@@ -505,6 +505,7 @@ FROM ({_rate("merged", ANSWER_BLANK, 0.05, LABELS)})""",
         "read_jsonl": ALL_DOCUMENTS,
         "read_json": ALL_DOCUMENTS,
         "read_parquet_order": f"SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {HEAD}",
+        "read_capped": f"SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {HEAD}",
         "read_table": f"""SELECT doc_id, text FROM (SELECT doc_id, text,
   row_number() OVER (ORDER BY substr(md5('42/sample:0::' || doc_id), 1, 13), doc_id)
     <= greatest(1, floor(count(*) OVER () * {SHARE}::DOUBLE)) AS chosen

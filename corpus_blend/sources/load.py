@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_blend.functions.keys import POSITION
 from corpus_blend.operators.position import with_position
 from corpus_blend.operators.select import first_rows, sample_fraction
 from corpus_blend.plans.spec import SourceSpec
@@ -45,12 +46,13 @@ def reader_for(path: str, reader: str | None = None) -> str:
 
 def load_file(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     reader: str | None = None,
-    schema: str | None = None,
+    schema: str | T.StructType | None = None,
     order_by=None,
     multi_line: bool = False,
     missing_cells: bool = True,
+    base_path: str | None = None,
 ) -> DataFrame:
     """Files, a folder or a glob as a DataFrame with a position.
 
@@ -58,25 +60,57 @@ def load_file(
     price of one task per file; without it a CSV file is split like any other.
     A broken JSON record is an error, not a lost row.
     """
-    kind = reader_for(path, reader)
+    kind = reader_for(path if isinstance(path, str) else path[0], reader)
     source = spark.read
     if schema:
         source = source.schema(schema)
-    if kind == "parquet":
-        return with_position(source.parquet(path), order_by)
-    if kind in ("json", "jsonl"):
-        read = source.option("mode", "FAILFAST").option("multiLine", kind == "json")
-        return with_position(read.json(path), order_by)
-    rows = source.options(header=True, multiLine=multi_line, escape='"').csv(path)
-    positioned = with_position(rows, order_by)
-    if not missing_cells:
-        return positioned
-    missing = {
+    if base_path:
+        source = source.option("basePath", base_path)
+    if kind == "csv":
+        rows = source.options(header=True, multiLine=multi_line, escape='"').format("csv").load(path)
+        positioned = with_position(rows, order_by)
+        return _without_missing(positioned, rows.columns) if missing_cells else positioned
+    if kind != "parquet":
+        source = source.option("mode", "FAILFAST").option("multiLine", kind == "json")
+    rows = source.format("json" if kind == "jsonl" else kind).load(path)
+    return with_position(rows, order_by)
+
+
+def _without_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    cells = {
         c: F.when(~F.col(f"`{c}`").isin(*MISSING_CELLS), F.col(f"`{c}`"))
-        for c in rows.columns
-        if isinstance(rows.schema[c].dataType, T.StringType)
+        for c in columns
+        if isinstance(df.schema[c].dataType, T.StringType)
     }
-    return positioned.withColumns(missing) if missing else positioned
+    return df.withColumns(cells) if cells else df
+
+
+def first_file_rows(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """The first rows of files that are read in order of their names: only the first files
+    are opened, twice as many until they hold enough.
+
+    A streamed source takes its columns from those files; another has those of all files.
+    """
+    path, n = spec.local_path, spec.max_samples
+    kind = reader_for(path, spec.reader)
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    schema = spec.schema
+    if not schema and not spec.streaming:
+        schema = read_source(spark, spec).drop(*POSITION).schema
+    folder = not any(c in path for c in "*?[{") and len(files) > 0 and not files[0].endswith(path)
+    opened = 1
+    while True:
+        rows = load_file(
+            spark,
+            files[:opened],
+            kind,
+            schema,
+            multi_line=spec.multi_line,
+            base_path=path if folder else None,
+        )
+        if opened >= len(files) or rows.count() >= n:
+            return first_rows(rows, n)
+        opened *= 2
 
 
 def load_table(
@@ -108,8 +142,11 @@ def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
 def load_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """A source with its row cap, then its random share, applied.
 
-    ``streaming`` needs no case of its own: a scan is lazy, and the cap finds
-    the last row wanted from the position alone.
+    A scan is lazy, so ``streaming`` makes little difference here: a cap opens
+    no more files than it needs, and without a cap nothing is held in memory.
     """
-    rows = first_rows(read_source(spark, spec), spec.max_samples)
+    if spec.max_samples and spec.local_path and not spec.order_by:
+        rows = first_file_rows(spark, spec)
+    else:
+        rows = first_rows(read_source(spark, spec), spec.max_samples)
     return sample_fraction(rows, spec.sample_fraction, spec.sample_seed)

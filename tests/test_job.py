@@ -81,6 +81,31 @@ def test_parquet_positions_across_files(spark, tmp_path):
     assert sorted(r.id for r in cb.first_rows(rows, 33).collect()) == list(range(33))
 
 
+@pytest.mark.parametrize("n, opened", [(5, 1), (30, 2), (45, 4), (500, 5)])
+def test_a_cap_opens_only_the_first_files(spark, tmp_path, n, opened):
+    path = str(tmp_path / "many")
+    spark.range(100).selectExpr("id", "string(id) AS text").repartitionByRange(5, "id").write.json(path)
+    rows = load_source(spark, SourceSpec(local_path=path, reader="jsonl", max_samples=n))
+    assert sorted(r.id for r in rows.collect()) == list(range(min(n, 100)))
+    assert len(rows.inputFiles()) == opened
+
+
+def test_a_cap_keeps_columns_of_later_files_and_of_folders(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"question": "q"}\n')
+    (tmp_path / "b.jsonl").write_text('{"question": "r", "answer": "s"}\n')
+    both = str(tmp_path / "*.jsonl")
+    rows = load_source(spark, SourceSpec(local_path=both, max_samples=1))
+    assert cb.detect_format(rows) == "qa" and rows.count() == 1
+    streamed = load_source(spark, SourceSpec(local_path=both, max_samples=1, streaming=True))
+    assert "answer" not in streamed.columns
+    parted = str(tmp_path / "parted")
+    spark.createDataFrame([("x", "en"), ("y", "fr")], "text string, lang string").write.partitionBy("lang").parquet(parted)
+    rows = load_source(spark, SourceSpec(local_path=parted, reader="parquet", max_samples=1))
+    assert [(r.text, r.lang) for r in rows.collect()] == [("x", "en")]
+    one = str(tmp_path / "a.jsonl")
+    assert load_source(spark, SourceSpec(local_path=one, max_samples=3)).count() == 1
+
+
 def test_order_by_two_columns(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "f string, n int")
     placed = cb.with_position(df, ["f", "n"]).orderBy("_file", "_row").collect()
