@@ -342,6 +342,24 @@ def test_interleaved_text_moves_once(spark, files, weights):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+@pytest.mark.parametrize("out", [{}, {"mode": "interleave"}, {"mode": "interleave", "probabilities": [1, 2, 1], "dedupe": False}])
+def test_sources_without_rows(spark, files, tmp_path, out):
+    nothing = str(tmp_path / "nothing")
+    spark.createDataFrame([], "text string").write.parquet(nothing)
+    empty = {"local_path": nothing, "reader": "parquet"}
+    settings = {**out, "save_path": str(tmp_path / "o"), "min_length": 1}
+    spec = MergeSpec.from_dict({"datasets": [{"local_path": files[0]}, empty, {"local_path": files[1]}], "output": settings})
+    summary = cb.run_merge(spark, spec)
+    assert [s["rows"] for s in summary["sources"]] == [len(PAIRS), 0, len(TEXTS)]
+    before, after, final, _ = modelled({**settings, "probabilities": [1, 1] if "probabilities" in out else None}, files)
+    assert (summary["rows_before_filters"], summary["rows_after_filters"]) == (before, after)
+    assert summary["final_rows"] == len(final)
+    weights = {"probabilities": [1, 2]} if "probabilities" in out else {}
+    spec = MergeSpec.from_dict({"datasets": [empty, empty], "output": {**settings, **weights}})
+    summary = cb.run_merge(spark, spec)
+    assert summary["final_rows"] == 0 and summary["splits"] == {"train": 0}
+
+
 def test_example_config():
     spec = load_config(os.path.join(os.path.dirname(__file__), "..", "examples", "config.yaml"))
     assert [s.label for s in spec.sources] == ["/data/chats", "/data/answers/*.jsonl", "corpus.raw_texts"]
