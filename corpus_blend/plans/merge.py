@@ -1,10 +1,10 @@
 """The merge job: read, standardize, combine, clean, order, split, report, write.
 
-Text is read from the sources once and written once to the shared folder, with
-the numbers every later step needs beside it (length, blank flags, row identity,
-roles). Counting, deduplicating, splitting and reporting then work on those
-narrow columns alone, and the text itself is exchanged once, when it is put in
-its final order.
+A first pass over the sources writes what every later step needs to know of a
+row but its text (length, blank flags, content hash, roles) to the shared
+folder. Counting, deduplicating, splitting and reporting work on that narrow
+table alone. A second pass takes the text straight to its place in the final
+order and writes it: read twice, exchanged once, written once.
 """
 
 from __future__ import annotations
@@ -127,11 +127,16 @@ class Blend:
         self.spark, self.spec, self.out = spark, spec, spec.output
         out = self.out
         frames, self.formats = _standardized(spark, spec)
-        self.staged = stage(measured(concatenate(frames), out), "standardized")
+        self.rows = measured(concatenate(frames), out)
+        if out.stage_text:
+            self.rows = stage(self.rows, "standardized")
         self.kept = length_bounds(F.col("_length"), out.min_length, out.max_length)
         roles = ["_roles"] if out.target_format == CHATML else []
-        facts = [*POSITION, "_hash", "_length", "_blank", *roles, *PROVENANCE]
-        narrow = self.staged.select(*facts, F.struct(*POSITION).alias("_origin"))
+        facts = ["_hash", "_length", "_blank", "_blank_source", *roles, *PROVENANCE]
+        self.facts = self.rows.select(*POSITION, *facts)
+        if not out.stage_text:
+            self.facts = stage(self.facts, "facts")
+        narrow = self.facts.drop("_blank_source").withColumn("_origin", F.struct(*POSITION))
         self.sources = self._source_report()
         lengths = {i: s["rows"] for i, s in enumerate(self.sources) if s["rows"]}
         self.rows_before = sum(lengths.values())
@@ -168,7 +173,7 @@ class Blend:
 
     def _source_report(self) -> list[dict]:
         counted = quality_of(
-            self.staged, F.col("_blank_source"), SRC, SOURCE_EMPTY_RATE
+            self.facts, F.col("_blank_source"), SRC, SOURCE_EMPTY_RATE
         ).collect()  # one row per source of the configuration
         found = {r[SRC]: r for r in counted}
         report = []
@@ -222,17 +227,20 @@ class Blend:
         narrow = self.narrow
         if self.picks is not None:
             narrow = pick_rows(self.indexed, self.picks, EXAMPLES + 1).where(self.kept)
-        first = first_dropped(narrow.select(*POSITION, "_hash", "_origin"), "_hash")
-        shown = self.staged.select(
-            F.struct(*POSITION).alias("_origin"),
-            "source_dataset",
-            row_preview(self.out.target_format).alias("preview"),
+        keys = narrow.select(*POSITION, "_hash", "_origin")
+        # EXAMPLES rows; as literals, their positions tell the scans which files to skip
+        dropped = first_dropped(keys, "_hash").orderBy(*POSITION).collect()
+        origins = [tuple(r["_origin"]) for r in dropped]
+        here = [
+            reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(POSITION, origin)])
+            for origin in set(origins)
+        ]
+        shown = self.rows.where(reduce(lambda a, b: a | b, here)).select(
+            *POSITION, "source_dataset", row_preview(self.out.target_format).alias("preview")
         )
-        # EXAMPLES rows at most
-        found = shown.join(F.broadcast(first), "_origin").orderBy(*POSITION)
+        texts = {(r[SRC], r[FILE], r[ROW]): r for r in shown.collect()}
         return [
-            {"source": r["source_dataset"], "preview": r["preview"]}
-            for r in found.select("source_dataset", "preview").collect()
+            {"source": texts[o]["source_dataset"], "preview": texts[o]["preview"]} for o in origins
         ]
 
     def partitions(self) -> int:
@@ -283,7 +291,7 @@ class Blend:
     def _first_in_slots(self, partitions: int) -> DataFrame:
         """Shuffled and deduplicated in one exchange of the text: equal rows share a slot, so
         the exchange also serves the window, and its sort is the order wanted."""
-        rows = self._without_hot_copies(self.staged.where(self.kept & self._drawn_from()))
+        rows = self._without_hot_copies(self.rows.where(self.kept & self._drawn_from()))
         same = Window.partitionBy("split", "_slot", "_order", "_hash")
         if self.picks is None:
             ranked = self._in_slots(rows, partitions).withColumn(
@@ -317,9 +325,9 @@ class Blend:
     def _text_rows(self) -> DataFrame:
         """Rows with their text at their place in the merged order."""
         if self.picks is None:
-            return self.staged.where(self.kept)
+            return self.rows.where(self.kept)
         numbers = self.indexed.select(*POSITION, "_index")
-        rows = self.staged.where(self._drawn_from()).join(numbers, list(POSITION))
+        rows = self.rows.where(self._drawn_from()).join(numbers, list(POSITION))
         return pick_rows(rows, self.picks, self.copies).where(self.kept)
 
     def _split(self) -> Column:

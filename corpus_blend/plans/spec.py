@@ -73,6 +73,7 @@ class OutputSpec:
     save_formats: list[str] = field(default_factory=lambda: ["jsonl"])
     write_dataset_card: bool = True
     push_to_hub: str | None = None  # here: the catalog table to publish as
+    stage_text: bool = False  # keep standardized text for the second pass
 
     def __post_init__(self) -> None:
         check_target(self.target_format)

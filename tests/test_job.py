@@ -253,11 +253,11 @@ JOBS = [
     {},
     {"min_length": 3, "max_length": 9, "normalize_dedupe": True, "train_test_split": 0.2},
     {"system_prompt": "S", "shuffle": False, "train_test_split": 4},
-    {"dedupe": False, "shuffle": False},
+    {"dedupe": False, "shuffle": False, "stage_text": True},
     {"mode": "interleave", "max_length": 8},
     {"mode": "interleave", "dedupe": False, "min_length": 2, "train_test_split": 0.5},
     {"mode": "interleave", "probabilities": [3, 1], "seed": 5},
-    {"mode": "interleave", "stopping_strategy": "first_exhausted", "normalize_dedupe": True},
+    {"mode": "interleave", "stopping_strategy": "first_exhausted", "normalize_dedupe": True, "stage_text": True},
     {"mode": "interleave", "probabilities": [1, 3], "stopping_strategy": "first_exhausted"},
     {"mode": "interleave", "probabilities": [1, 3], "shuffle": False, "max_length": 9},
     {"mode": "interleave", "probabilities": [3, 1], "dedupe": False, "stopping_strategy": "first_exhausted"},
@@ -311,7 +311,7 @@ def test_final_order(spark, files):
     wide = [(r.split, r.messages) for r in blend.final(5).collect()]
     for split in ("train", "test"):
         assert [m for s, m in wide if s == split] == [m for s, m in rows if s == split]
-    hashes = {tuple(map(tuple, r.messages)): r._hash.hex() for r in blend.staged.collect()}
+    hashes = {tuple(map(tuple, r.messages)): r._hash.hex() for r in blend.rows.collect()}
     train = [number(42, hashes[tuple(map(tuple, m))]) for s, m in rows if s == "train"]
     assert train == sorted(train)
 
@@ -322,7 +322,7 @@ def test_hot_copies_are_dropped_before_the_exchange(spark, tmp_path, monkeypatch
     path.write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
     monkeypatch.setattr(merge, "HOT_COPIES", 10)
     blend = merge.Blend(spark, MergeSpec.from_dict({"datasets": [{"local_path": str(path)}]}))
-    rows = blend._without_hot_copies(blend.staged)
+    rows = blend._without_hot_copies(blend.rows)
     assert rows.where(F.col("messages")[0].content == "hot").count() == 1
     assert rows.where(F.col("messages")[0].content == "warm").count() == 3
     assert sorted(r.messages[0].content for r in blend.final(3).collect()) == sorted(set(texts))
