@@ -73,13 +73,16 @@ class OutputSpec:
     save_formats: list[str] = field(default_factory=lambda: ["jsonl"])
     write_dataset_card: bool = True
     push_to_hub: str | None = None  # here: the catalog table to publish as
-    stage_text: bool = False  # keep standardized text for the second pass
+    # keep the standardized text for the second pass; left open, only where hashing is slow
+    stage_text: bool | None = None
 
     def __post_init__(self) -> None:
         check_target(self.target_format)
         check_stop(self.stopping_strategy)
         if self.mode not in MODES:
             raise ValueError(f"unknown mode {self.mode!r} (use {' or '.join(MODES)})")
+        if self.stage_text is None:
+            self.stage_text = self.dedupe and self.normalize_dedupe
         self.save_formats = list(self.save_formats or ["jsonl"])
         wrong = [f for f in self.save_formats if f not in SAVE_FORMATS]
         if wrong:

@@ -251,13 +251,13 @@ def modelled(out, files):
 
 JOBS = [
     {},
-    {"min_length": 3, "max_length": 9, "normalize_dedupe": True, "train_test_split": 0.2},
+    {"min_length": 3, "max_length": 9, "normalize_dedupe": True, "train_test_split": 0.2, "stage_text": False},
     {"system_prompt": "S", "shuffle": False, "train_test_split": 4},
     {"dedupe": False, "shuffle": False, "stage_text": True},
     {"mode": "interleave", "max_length": 8},
     {"mode": "interleave", "dedupe": False, "min_length": 2, "train_test_split": 0.5},
     {"mode": "interleave", "probabilities": [3, 1], "seed": 5},
-    {"mode": "interleave", "stopping_strategy": "first_exhausted", "normalize_dedupe": True, "stage_text": True},
+    {"mode": "interleave", "stopping_strategy": "first_exhausted", "normalize_dedupe": True},
     {"mode": "interleave", "probabilities": [1, 3], "stopping_strategy": "first_exhausted"},
     {"mode": "interleave", "probabilities": [1, 3], "shuffle": False, "max_length": 9},
     {"mode": "interleave", "probabilities": [3, 1], "dedupe": False, "stopping_strategy": "first_exhausted"},
