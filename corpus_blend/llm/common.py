@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20):
     """Cut a batch into slices of about ``most_bytes`` of text (one row at least), so that what a
     task derives from a slice stays small however long the texts are."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
