@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_blend.llm import exact_dedup, simhash, warc
+from corpus_blend.llm import exact_dedup, packing, simhash, simple8b, toxicity, warc
 from corpus_blend.llm.common import new_folder, read_table
 
 
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    """A tokenizer's file as text, which goes to the tasks with their function."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_dedup(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -20,6 +35,33 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    files = simple8b.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_json(), end_id=1, folder=folder)
+    found = simple8b.read_tokens(spark, folder).select(
+        F.element_at(F.split("file", "/"), -1).alias("file_name"), "id", "start", "n_tokens", F.crc32("ids").alias("crc")
+    )
+    return found.join(simple8b.file_offsets(files), "file_name").select(
+        F.col("id").alias("doc_id"),
+        (F.col("before") + F.col("start")).alias("start"),
+        "n_tokens",
+        F.col("crc").alias("ids_crc32"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_json(), end_id=2)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("example_tokens").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), digest=True)
     return found.select(
@@ -41,7 +83,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
 }
