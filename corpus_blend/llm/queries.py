@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_blend.llm import exact_dedup, html_text, packing, simhash, simple8b, toxicity, warc
+from corpus_blend.llm import embedding_dedup, exact_dedup, html_text, packing, simhash, simple8b, toxicity, warc
 from corpus_blend.llm.common import new_folder, read_table
 
 
@@ -26,6 +26,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", predicted)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_dedup(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -89,6 +96,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
