@@ -3,6 +3,39 @@
 from __future__ import annotations
 
 ORACLES = {
+    # Every shortest run of 50 words, forwards from a line and backwards from one, as text; a run
+    # whose text occurred before goes.
+    "op2_line_dedup": r"""
+        WITH raw AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw_line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS no FROM documents),
+        lines AS (
+            SELECT doc_id, no, raw_line, regexp_replace(raw_line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+            FROM raw),
+        l AS (
+            SELECT doc_id, no, line, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS w,
+                   sum(w) OVER (PARTITION BY doc_id ORDER BY no) AS upto
+            FROM lines WHERE line <> ''),
+        runs AS (
+            SELECT a.doc_id, a.no AS s, min(b.no) AS e FROM l a JOIN l b
+            ON a.doc_id = b.doc_id AND b.no >= a.no AND b.upto >= a.upto - a.w + 50 GROUP BY 1, 2
+            UNION
+            SELECT b.doc_id, max(a.no) AS s, b.no AS e FROM l a JOIN l b
+            ON a.doc_id = b.doc_id AND b.no >= a.no AND b.upto >= a.upto - a.w + 50 GROUP BY 1, 3),
+        texts AS (
+            SELECT r.doc_id, r.s, r.e, string_agg(l.line, chr(10) ORDER BY l.no) AS run
+            FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.no BETWEEN r.s AND r.e GROUP BY 1, 2, 3),
+        later AS (
+            SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM texts),
+        marked AS (
+            SELECT doc_id, no, raw_line,
+                   EXISTS (SELECT 1 FROM later x WHERE x.k > 1 AND x.doc_id = lines.doc_id
+                           AND lines.no BETWEEN x.s AND x.e) AS gone
+            FROM lines)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(raw_line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
+        FROM marked GROUP BY doc_id
+    """,
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

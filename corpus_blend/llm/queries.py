@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_blend.llm import embedding_dedup, exact_dedup, html_text, packing, simhash, simple8b, toxicity, warc
+from corpus_blend.llm import embedding_dedup, exact_dedup, html_text, line_dedup, packing, simhash, simple8b, toxicity, warc
 from corpus_blend.llm.common import new_folder, read_table
 
 
@@ -26,6 +26,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", predicted)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    docs = docs.withColumn("n_lines", F.size(F.split("text", "\n")))
+    found = line_dedup.line_dedup(docs, removed_col="n_removed")
+    return found.select(
+        "doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), "n_removed", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.embedding_dedup(read_table(spark, sf_dir, "embeddings"))
     return found.select(
@@ -96,6 +106,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
