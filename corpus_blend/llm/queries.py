@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_blend.llm import embedding_dedup, exact_dedup, html_text, line_dedup, packing, simhash, simple8b, toxicity, warc
+from corpus_blend.llm import embedding_dedup, exact_dedup, html_text, line_dedup, packing, sentence_pieces, simhash, simple8b, toxicity, warc
 from corpus_blend.llm.common import new_folder, read_table
 
 
@@ -79,6 +79,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    encoded = sentence_pieces.encode(read_table(spark, sf_dir, "documents"), model, verify=True)
+    decoded = sentence_pieces.decode(encoded, model)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract_text(read_table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -111,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,

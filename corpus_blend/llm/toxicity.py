@@ -261,6 +261,20 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, **
     return train(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), settings)
 
 
+def reject(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` with a score below ``threshold``, whole; scores as in ``score``."""
+    shared = df.sparkSession.sparkContext.broadcast((model.settings, model.weights.astype(np.float32), model.bias))
+
+    def run(batches):
+        own = Model(*shared.value)
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                texts = part.column(text_col).fill_null("")
+                yield part.filter(pa.array(own.score(texts) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of every row; a null text is empty, and a text without words has the score of
     the model's bias alone. No rows give no rows; repeated rows have equal scores."""
