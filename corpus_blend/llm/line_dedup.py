@@ -144,7 +144,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     interval = ["m", "head", "tail"]
     earliest = found.groupBy(*interval).agg(*seen).where("n > 1").drop("n")
     later = found.join(earliest, interval).where(F.struct(*PLACE) != F.col("rank"))
-    spans = later.groupBy(*DOC).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    end = (F.col("at") + F.col("m")).alias("end")
+    spans = later.groupBy(*DOC).agg(F.collect_set(F.struct("at", end, "first", "last")).alias("spans"))
     return spans.mapInArrow(_merge, "doc bigint, version bigint, spans array<struct<first: int, last: int>>")
 
 
@@ -157,20 +158,22 @@ def _double(ranks: DataFrame, n: int) -> DataFrame:
 
 
 def _merge(batches):
-    """Join overlapping spans of each document."""
+    """Join runs of each document that overlap or follow each other, but for blank lines."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:
         merged = []
-        for spans in batch.column("spans").to_pylist():
-            kept: list[dict] = []
-            for span in sorted(spans, key=lambda s: (s["first"], s["last"])):
-                if kept and span["first"] <= kept[-1]["last"] + 1:
-                    kept[-1]["last"] = max(kept[-1]["last"], span["last"])
+        for runs in batch.column("spans").to_pylist():
+            spans: list[dict] = []
+            end = -1
+            for run in sorted(runs, key=lambda r: (r["at"], r["end"])):
+                if spans and run["at"] <= end:
+                    spans[-1]["last"] = max(spans[-1]["last"], run["last"])
                 else:
-                    kept.append(dict(span))
-            merged.append(kept)
+                    spans.append({"first": run["first"], "last": run["last"]})
+                end = max(end, run["end"])
+            merged.append(spans)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("version"), pa.array(merged, batch.schema.field("spans").type)],
-            names=["doc", "version", "spans"],
+            [batch.column("doc"), batch.column("version"), pa.array(merged, kind)], names=["doc", "version", "spans"]
         )
 
 
@@ -184,7 +187,7 @@ def line_dedup(
     """``df`` with repeated runs of lines deleted from its texts; all rows and columns stay.
 
     Lines are compared without white space at their ends; blank lines are no part of the comparison
-    but go with the run around them. The first copy, by document id and then by place, stays. A
+    but go if the lines before and after them both go. The first copy, by document id and then by place, stays. A
     document that was all repeats is left with an empty text. ``removed_col`` names a column to
     add with the number of deleted lines.
 

@@ -27,11 +27,19 @@ ORACLES = {
             FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.no BETWEEN r.s AND r.e GROUP BY 1, 2, 3),
         later AS (
             SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM texts),
-        marked AS (
+        known AS (
             SELECT doc_id, no, raw_line,
-                   EXISTS (SELECT 1 FROM later x WHERE x.k > 1 AND x.doc_id = lines.doc_id
-                           AND lines.no BETWEEN x.s AND x.e) AS gone
-            FROM lines)
+                   CASE WHEN line <> '' THEN EXISTS (
+                       SELECT 1 FROM later x WHERE x.k > 1 AND x.doc_id = lines.doc_id
+                       AND lines.no BETWEEN x.s AND x.e) END AS hit
+            FROM lines),
+        marked AS (  -- a blank line goes with the lines before and after it
+            SELECT doc_id, no, raw_line, coalesce(hit,
+                last_value(hit IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                AND first_value(hit IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no
+                    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS gone
+            FROM known)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
                sha256(coalesce(string_agg(raw_line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
         FROM marked GROUP BY doc_id
