@@ -89,7 +89,7 @@ class Pool:
         """The example to place next, and whether it fits as a whole; -1 if nothing can be placed."""
         needs = self.needs[:, : len(self.items)]
         # One weight per limit: room and needs are both taken as shares of the capacity.
-        score = (room / self.capacity**2) @ needs
+        score = (room / np.maximum(self.capacity, 1) ** 2) @ needs
         fits = (needs <= room[:, None]).all(axis=0)
         if fits.any():
             return int(np.argmax(np.where(fits, score, -1.0))), True

@@ -123,7 +123,7 @@ class Model:
         built = Tokenizer(model)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.remove_extra_spaces:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(SPACE))
         built.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])

@@ -164,7 +164,7 @@ def write_tokens(
 ) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the ids under ``folder`` in ascending
     order of ``id_col``; returns a row per file: ``path, documents, ids``. Files sort by name in
-    the order of their documents and hold ``file_ids`` ids or one document more.
+    the order of their documents and hold ``file_ids`` ids and what comes with the last slice of texts.
 
     ``tokenizer`` is the JSON text of a tokenizer. A null text is empty, and so is its encoding: its
     document holds ``end_id`` alone. Rows that repeat an id follow each other, ordered by text; a
