@@ -23,7 +23,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s/>]*+)[^>]*+>"
     r"""|<(?P<open>[a-zA-Z][^\s/>]*+)(?P<set>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"|<(?P<open2>[a-zA-Z][^\s/>]*+)(?P<set2>[^>]*+)>",
+    r"|<(?P<open2>[a-zA-Z][^\s/>]*+)(?P<set2>[^>]*+)>"
+    r"|</?[a-zA-Z][^>]*+\Z",  # a tag that breaks off with the page
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
