@@ -55,15 +55,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     files = simple8b.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_json(), end_id=1, folder=folder)
-    found = simple8b.read_tokens(spark, folder).select(
-        F.element_at(F.split("file", "/"), -1).alias("file_name"), "id", "start", "n_tokens", F.crc32("ids").alias("crc")
-    )
-    return found.join(simple8b.file_offsets(files), "file_name").select(
-        F.col("id").alias("doc_id"),
-        (F.col("before") + F.col("start")).alias("start"),
-        "n_tokens",
-        F.col("crc").alias("ids_crc32"),
-    )
+    found = simple8b.read_tokens(spark, folder, files)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

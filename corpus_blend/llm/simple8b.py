@@ -225,22 +225,28 @@ class _Waiting:
         return self.doc_ids, self.counts, self.parts
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
     """``file, id, start, n_tokens, ids`` of every document in ``folder``'s files: ``ids`` are
-    little-endian unsigned 32-bit integers, ``start`` counts the ids before it in its file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("path")
+    little-endian unsigned 32-bit integers, ``start`` counts the ids before it in its file, or with
+    ``files``, which ``write_tokens`` returned, in all files in order of their names."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("path")
+    if files is None:
+        found = found.withColumn("before", F.lit(0).cast("bigint"))
+    else:
+        # Known per file before any is opened, so that no row of a document has to be joined.
+        found = found.withColumn("file_name", _name("path")).join(file_offsets(files), "file_name").drop("file_name")
     kind = "file string, id bigint, start bigint, n_tokens bigint, ids binary"
-    return files.repartition(max(1, min(files.count(), 20_000)), "path").mapInArrow(_read_files, kind)
+    return found.repartition(max(1, min(found.count(), 20_000)), "path").mapInArrow(_read_files, kind)
 
 
 def _read_files(batches):
     for batch in batches:
-        for path in batch.column("path").to_pylist():
+        for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
             with open_input(path) as source:
-                yield from _documents(path, TokenFile(source))
+                yield from _documents(path, TokenFile(source), before)
 
 
-def _documents(path: str, file: TokenFile, most: int = 1 << 20):
+def _documents(path: str, file: TokenFile, before: int, most: int = 1 << 20):
     """Rows of some documents at a time, of about ``most`` ids or one document."""
     ends = np.cumsum(file.counts)
     first = 0
@@ -257,7 +263,7 @@ def _documents(path: str, file: TokenFile, most: int = 1 << 20):
             [
                 pa.array([path] * n),
                 pa.array(file.doc_ids[first:last]),
-                pa.array(edges[:-1]),
+                pa.array(edges[:-1] + before),
                 pa.array(file.counts[first:last]),
                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())]),
             ],
@@ -266,8 +272,12 @@ def _documents(path: str, file: TokenFile, most: int = 1 << 20):
         first = last
 
 
+def _name(path: str):
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def file_offsets(files: DataFrame) -> DataFrame:
     """``file_name, before``: the ids in all files before each; one narrow row per file."""
-    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
     before = F.sum("ids").over(Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1))
-    return files.select(name, "ids").select("file_name", F.coalesce(before, F.lit(0)).alias("before"))
+    named = files.select(_name("path").alias("file_name"), "ids")
+    return named.select("file_name", F.coalesce(before, F.lit(0)).alias("before"))

@@ -40,8 +40,8 @@ class Settings:
     dim: int = 8
     shortest: int = 4
     longest: int = 6
-    window: int = 12
-    padding: int = 4
+    window: int = 6
+    padding: int = 3
     epochs: int = 14
     batch: int = 400
     rate: float = 0.05
