@@ -22,7 +22,7 @@ BLOCK_KEYS = ("text", "content")
 VALUE_KEYS = ("text", "content", "value")
 PART_SEPARATOR = "\n"
 
-JSON_DEPTH = 4
+JSON_DEPTH = 16  # an expression cannot recurse, so it is written out for this many levels
 
 
 def to_text(col: Column, dtype: T.DataType, json_content: bool = False) -> Column:
@@ -148,12 +148,17 @@ def json_text(col: Column, dtype: T.DataType) -> Column:
 def _json_or_text(col: Column) -> Column:
     """A string, or the text of the JSON list or object it holds."""
     parsed = F.when(col.rlike(r"^\s*[\[{]"), F.try_parse_json(col))
-    return _once(
-        parsed,
-        lambda v: F.when(v.isNotNull(), _variant_text(v, JSON_DEPTH)).otherwise(
+
+    def text(v: Column) -> Column:
+        # an object without a text key is a message that happens to be JSON: it stays as written
+        members = F.try_variant_get(v, "$", "map<string,variant>")
+        held = [F.coalesce(F.map_contains_key(members, k), F.lit(False)) for k in VALUE_KEYS]
+        bare = F.schema_of_variant(v).startswith("OBJECT") & ~held[0] & ~held[1] & ~held[2]
+        return F.when(v.isNotNull() & ~bare, _variant_text(v, JSON_DEPTH)).otherwise(
             F.coalesce(col, F.lit(""))
-        ),
-    )
+        )
+
+    return _once(parsed, text)
 
 
 def _once(value: Column, use) -> Column:
@@ -162,7 +167,7 @@ def _once(value: Column, use) -> Column:
 
 
 def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Column:
-    """Text of a parsed JSON value; below ``depth`` levels it stays JSON text.
+    """Text of a parsed JSON value; lists and objects nested more than ``depth`` deep are an error.
 
     A list has its items as children, an object the value of its first text
     key. ``listed`` tells whether the value is itself an item of a list.
@@ -172,7 +177,8 @@ def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Co
     plain = F.try_variant_get(value, "$", "string")
     scalar = F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
     if depth == 0:
-        text = F.when(is_list | is_object, F.to_json(value)).otherwise(scalar)
+        deeper = F.raise_error(F.lit(f"JSON in a message is nested more than {JSON_DEPTH} levels deep"))
+        text = F.when(is_list | is_object, deeper.cast("string")).otherwise(scalar)
         return F.coalesce(text, F.lit(""))
     members = F.try_variant_get(value, "$", "map<string,variant>")
     child = F.lit(None)

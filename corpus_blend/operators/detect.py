@@ -51,7 +51,6 @@ SYNONYMS = {
     ),
 }
 NEEDED_ROLES = ("instruction", "output")
-PROBE_ROWS = 5
 
 
 def fuzzy_mapping(columns: Iterable[str]) -> dict[str, str] | None:
@@ -78,9 +77,9 @@ def validate_format(fmt: str | None) -> str | None:
 def detect_format(df: DataFrame, override: str | None = None, strict_first_row: bool = False) -> str:
     """Name of the layout; names compare without case, the first layout that fits wins.
 
-    A turn list counts when its type has the two keys and one of a few probed
-    rows is not empty. ``strict_first_row`` asks this of the first row by
-    position instead, which has to look for that row in the whole source.
+    A list of structs is a turn list if its type has the two keys, whatever its rows hold; of maps,
+    if the first turn of any row of the source has them. ``strict_first_row`` asks the first
+    row by position for a turn with both instead.
     """
     chosen = validate_format(override)
     if chosen:
@@ -105,15 +104,17 @@ def _has_turns(df: DataFrame, column: str, keys: tuple[str, str], strict_first_r
     if isinstance(dtype.elementType, T.StructType):
         if not set(keys) <= set(dtype.elementType.names):
             return False
+        if not strict_first_row:
+            return True
         found = turn.isNotNull()
     elif isinstance(dtype.elementType, T.MapType):
         found = F.map_contains_key(turn, keys[0]) & F.map_contains_key(turn, keys[1])
     else:
         return False
+    if not strict_first_row:
+        # stops at the first row found; a source without any is read to its end
+        return bool(df.where(found).limit(1).select(F.lit(1)).collect())
     order = [c for c in POSITION if c in df.columns]
     probed = df.select(found.alias("_found"), *order)
-    if strict_first_row:
-        first = probed.orderBy(*order).limit(1) if order else probed.limit(1)
-    else:
-        first = probed.limit(PROBE_ROWS)  # the outermost step, so Spark reads no further than it
+    first = probed.orderBy(*order).limit(1) if order else probed.limit(1)
     return any(row["_found"] for row in first.collect())

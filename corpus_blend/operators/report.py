@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_blend.functions.chat import CHATML, row_is_blank, row_length
-from corpus_blend.functions.keys import POSITION
+from corpus_blend.functions.keys import POSITION, SRC
 from corpus_blend.functions.text import to_text
 from corpus_blend.operators.detect import TURN_KEYS, UNKNOWN, detect_format
-from corpus_blend.operators.select import peek, sample_rows
+from corpus_blend.operators.select import peek
 from corpus_blend.operators.standardize import blank_after
 
 # The rates above which a source, or the whole result, is flagged.
@@ -35,17 +35,9 @@ def quality_of(df: DataFrame, blank: Column, by=None, threshold: float = SOURCE_
     return counted.withColumn("flagged", F.col("empty_rate") > threshold)
 
 
-def quality(
-    df: DataFrame,
-    target: str,
-    by=None,
-    cap: int | None = None,
-    threshold: float = SOURCE_EMPTY_RATE,
-    seed=0,
-) -> DataFrame:
-    """Blank rows after standardizing. All rows are read unless ``cap`` asks for a sample."""
-    rows = df if cap is None else sample_rows(df, cap, seed)
-    return quality_of(rows, row_is_blank(target), by, threshold)
+def quality(df: DataFrame, target: str, by=None, threshold: float = SOURCE_EMPTY_RATE) -> DataFrame:
+    """Blank rows after standardizing, over all rows."""
+    return quality_of(df, row_is_blank(target), by, threshold)
 
 
 def source_counts(df: DataFrame) -> DataFrame:
@@ -98,13 +90,15 @@ def merge_statistics(df: DataFrame, target: str) -> dict[str, DataFrame]:
     return tables
 
 
-def source_report(df: DataFrame, target: str, formats: dict[str, str]) -> DataFrame:
-    """Per source: the layout it was read as, its rows and how many are blank."""
-    counted = quality(df, target, "source_dataset")
-    layout = F.lit(None).cast("string")
-    for label, fmt in formats.items():
-        layout = F.when(F.col("source_dataset") == label, fmt).otherwise(layout)
-    return counted.withColumn("format", layout)
+def source_report(df: DataFrame, target: str, formats: Sequence[str]) -> DataFrame:
+    """Per source: its label, the layout it was read as, its rows and how many are blank.
+
+    ``formats`` are in order of the sources as they were concatenated: a table listed twice is two
+    sources with one label.
+    """
+    counted = quality(df, target, [SRC, "source_dataset"])
+    layouts = F.array(*(F.lit(f) for f in formats))
+    return counted.withColumn("format", F.get(layouts, F.col(SRC))).withColumnRenamed(SRC, "source")
 
 
 # --- before merging ----------------------------------------------------------------
@@ -115,19 +109,23 @@ def _public(df: DataFrame) -> DataFrame:
 
 
 def inspect_source(
-    df: DataFrame, label: str, fmt: str | None = None, strict_first_row: bool = False
+    df: DataFrame, label: str, fmt: str | None = None, strict_first_row: bool = False, count: bool = True
 ) -> DataFrame:
-    """One row: label, layout, rows, columns and one sample row as JSON."""
+    """One row: label, layout, rows (null without ``count``), columns and one sample row as JSON."""
     rows = _public(df)
     found = detect_format(rows if not strict_first_row else df, fmt, strict_first_row)
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     packed = F.to_json(row, {"ignoreNullFields": "false"})
     sample = peek(rows.select(packed), 1).collect()
-    return rows.agg(F.count("*").alias("n_rows")).select(
+    if count:
+        counted = rows.agg(F.count("*").alias("n_rows"))
+    else:
+        counted = df.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("n_rows"))
+    return counted.select(
         F.lit(label).alias("source"),
         F.lit(found).alias("format"),
         "n_rows",
-        F.lit(",".join(rows.columns)).alias("columns"),
+        F.array(*(F.lit(c) for c in rows.columns)).alias("columns"),
         F.lit(sample[0][0] if sample else None).cast("string").alias("sample"),
     )
 

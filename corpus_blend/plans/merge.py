@@ -12,8 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpus_blend.functions.chat import (
@@ -36,6 +35,7 @@ from corpus_blend.operators.report import (
     SOURCE_EMPTY_RATE,
     histogram_of,
     inspect_source,
+    profile_source,
     quality_of,
     source_counts,
 )
@@ -46,24 +46,35 @@ from corpus_blend.operators.select import (
 )
 from corpus_blend.operators.standardize import PROVENANCE, to_target
 from corpus_blend.plans.spec import MergeSpec, OutputSpec
-from corpus_blend.sinks.files import publish, save, write_card
-from corpus_blend.sources.load import load_source
-from corpus_blend.staging import stage
+from corpus_blend.sinks.files import check_save_path, publish, save, saved_files, write_card, write_rows
+from corpus_blend.sources.load import load_source, read_source
+from corpus_blend.staging import one_run, stage
 
 CHARS_PER_PARTITION = 256_000_000
 FEWEST_CHARS = 8_000_000  # less than this is not worth a task of its own
 MOST_PARTITIONS = 50_000  # beyond, partitions grow: their sort spills, more blocks would not fit
 ROWS_PER_SHUFFLE_TASK = 5_000_000
+COPIED_CHARS = "_copies * _length"
 HOT_COPIES = 1_000
-HOT_SETS = 50_000  # sets above total / HOT_SETS rows: there cannot be more than this many
+HOT_SETS = 50_000  # sets above total / HOT_SETS rows or characters: not more than twice as many
+ROLES_SHOWN = 1_000  # more are in the role table's files only
 
 
-def inspect_sources(spark: SparkSession, spec: MergeSpec) -> DataFrame:
-    """One row per source: label, layout, rows, columns, sample. Nothing is merged."""
-    rows = [
-        inspect_source(load_source(spark, s), s.label, s.format, s.strict_first_row)
-        for s in spec.sources
-    ]
+def inspect_sources(spark: SparkSession, spec: MergeSpec, count: bool = True, profile: bool = False) -> DataFrame:
+    """One row per source: label, layout, rows, columns, sample. Nothing is merged.
+
+    Rows come from the footers of Parquet files; others are read to be counted, unless ``count`` is
+    off. With ``profile`` whole sources are read for mean length, missing and empty values and roles.
+    """
+    rows = []
+    for s in spec.sources:
+        limited = s.max_samples or s.sample_fraction
+        found = load_source(spark, s) if limited else read_source(spark, s, settle=bool(s.strict_first_row))
+        row = inspect_source(found, s.label, s.format, s.strict_first_row, count)
+        if profile:
+            known = profile_source(found, s.label, s.format, s.columns).drop("format", "n_rows")
+            row = row.join(known, "source")  # one row each
+        rows.append(row)
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -159,8 +170,10 @@ class Blend:
             F.coalesce(F.sum("_length"), F.lit(0)).alias("chars"),
             F.coalesce(F.sum("_copies"), F.lit(0)).alias("copies"),
             F.coalesce(F.max("_copies"), F.lit(0)).alias("most_copies"),
+            F.coalesce(F.sum(F.expr(COPIED_CHARS)), F.lit(0)).alias("copied"),
+            F.coalesce(F.max(F.expr(COPIED_CHARS)), F.lit(0)).alias("most_copied"),
         ).first()
-        self.n_final, self.n_chars, self.n_copies, self.most_copies = totals
+        self.n_final, self.n_chars, self.n_copies, self.most_copies, self.copied, self.most_copied = totals
         self.in_test = split_condition(
             self._identified(self.survivors), out.train_test_split, out.seed, "_id"
         )
@@ -253,10 +266,11 @@ class Blend:
     def _without_hot_copies(self, rows: DataFrame) -> DataFrame:
         """Drop the repeats of very frequent rows before they are all sent to one task."""
         limit = max(HOT_COPIES, self.n_copies // HOT_SETS)
-        if self.most_copies <= limit:
+        heavy = max(CHARS_PER_PARTITION // 4, self.copied // HOT_SETS)
+        if self.most_copies <= limit and self.most_copied <= heavy:
             return rows
-        # more than total / HOT_SETS copies each: there are HOT_SETS such rows at most
-        hot = self.survivors.where(F.col("_copies") > limit).select(
+        # more than total / HOT_SETS copies or characters each: at most twice HOT_SETS such rows
+        hot = self.survivors.where((F.col("_copies") > limit) | (F.expr(COPIED_CHARS) > heavy)).select(
             "_hash", F.col("_origin").alias("_first")
         )
         marked = rows.join(F.broadcast(hot), "_hash", "left")
@@ -349,6 +363,12 @@ class Blend:
             "final_rows": self.n_final,
         }
 
+    def kept_rows(self) -> list[int]:
+        """Final rows of each source of the configuration, two of which may have one label."""
+        by = self.survivors.groupBy(F.col("_origin").getField(SRC).alias("source")).count().collect()
+        found = {r["source"]: r["count"] for r in by}
+        return [found.get(i, 0) for i in range(len(self.sources))]
+
     def statistics(self) -> dict[str, DataFrame]:
         """Composition tables of the final rows, from the narrow table."""
         tables = {
@@ -366,11 +386,23 @@ class Blend:
 
 
 def run_merge(spark: SparkSession, spec: MergeSpec) -> dict:
-    """Run a merge to its files; returns a summary of counts and locations."""
+    """Run a merge to its files; returns a summary of counts and locations.
+
+    What is staged on the way is deleted at the end. Rows written are counted as they are written: if
+    they are not as many as were planned, a source changed meanwhile, and the merge fails.
+    """
+    check_save_path(spark, spec)
+    with one_run(spark):
+        return _merge(spark, spec)
+
+
+def _merge(spark: SparkSession, spec: MergeSpec) -> dict:
     blend = Blend(spark, spec)
     out = spec.output
     tables = blend.statistics()
     quality = tables["quality"].first().asDict()
+    for source, kept in zip(blend.sources, blend.kept_rows()):
+        source["rows_kept"] = kept
     summary = {
         "target_format": out.target_format,
         "mode": out.mode,
@@ -379,7 +411,7 @@ def run_merge(spark: SparkSession, spec: MergeSpec) -> dict:
         "duplicate_examples": blend.duplicate_examples(),
         "splits": blend.splits(),
         "quality": quality,
-        # one row per source, role and bin: small whatever the data
+        # one row per label and bin: small whatever the data
         "source_counts": {r[0]: r[1] for r in tables["source_counts"].collect()},
         "lengths": [r.asDict() for r in tables["lengths"].orderBy("bin").collect()],
         "sample_size": quality["sample_size"],
@@ -393,20 +425,47 @@ def run_merge(spark: SparkSession, spec: MergeSpec) -> dict:
         ],
     }
     if "role_counts" in tables:
-        top = tables["role_counts"].orderBy(F.desc("n_messages"), "role").limit(1_000)
-        summary["role_counts"] = {r[0]: r[1] for r in top.collect()}
+        _add_roles(spark, summary, tables["role_counts"], out.save_path)
     if out.mode == "interleave" and out.dedupe:
         summary["warnings"].append("rows repeated by interleaving are removed as duplicates")
+    if out.save_path or out.push_to_hub:
+        _write(spark, blend, summary)
+    return summary
+
+
+def _add_roles(spark: SparkSession, summary: dict, roles: DataFrame, save_path: str | None) -> None:
+    """All roles go to files; the summary lists them too unless there are very many."""
+    roles = stage(roles, "roles")
+    summary["n_roles"] = roles.count()
+    if summary["n_roles"] <= ROLES_SHOWN:
+        summary["role_counts"] = {r[0]: r[1] for r in roles.collect()}
+    if save_path:
+        summary["role_counts_path"] = write_rows(roles, f"{save_path.rstrip('/')}/role_counts")
+
+
+def _write(spark: SparkSession, blend: Blend, summary: dict) -> None:
+    out = blend.out
+    written = Observation("written")
+    final = blend.final().observe(written, F.count(F.lit(1)).alias("rows"))
+    formats = sorted(set(out.save_formats if out.save_path else []), key=lambda f: f != "parquet")
+    if len(formats) + bool(out.push_to_hub) > 1:
+        # Exchanged once for all formats: one is written, the others are made from its files.
+        if formats[0] == "parquet":
+            saved = save(final, out.save_path, formats[:1])
+            summary["save_files"] = saved
+            final, formats = spark.read.schema(final.schema).parquet(saved["parquet"]), formats[1:]
+        else:
+            final = stage(final, "final")
+    if formats:
+        summary["save_files"] = summary.get("save_files", {}) | save(final, out.save_path, formats)
+    if out.push_to_hub:
+        publish(final, out.push_to_hub)
+        summary["table"] = out.push_to_hub
+    rows = written.get["rows"]
+    if rows != blend.n_final:
+        raise RuntimeError(f"{rows} rows were written, but {blend.n_final} were planned: a source has changed")
     if out.save_path:
-        final = blend.final()
-        if len(set(out.save_formats)) + bool(out.push_to_hub) > 1:
-            # exchanged once for all formats; blocks of a lost executor are made again
-            final = final.persist(StorageLevel.DISK_ONLY)
-        summary["save_files"] = save(final, out.save_path, out.save_formats)
+        summary["save_path"] = out.save_path
+        summary["files"] = saved_files(spark, summary["save_files"])
         if out.write_dataset_card:
             summary["dataset_card"] = write_card(spark, out.save_path, summary)
-        if out.push_to_hub:
-            publish(final, out.push_to_hub)
-            summary["table"] = out.push_to_hub
-        final.unpersist()
-    return summary

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field, fields
 
 from corpus_blend.functions.chat import CHATML, check_target
@@ -17,6 +18,7 @@ DEFAULT_SPLIT = "train"
 DEFAULT_SEED = 42
 DEFAULT_SAVE_PATH = "./merged_dataset"
 UNNAMED = "unknown source"
+IGNORED = {"eval_split"}  # exported configurations may hold it, and nothing ever read it
 
 
 @dataclass
@@ -37,7 +39,7 @@ class SourceSpec:
     reader: str | None = None
     schema: str | None = None
     order_by: str | list[str] | None = None
-    multi_line: bool = False
+    multi_line: bool = True
     json_content: bool = False
     case_insensitive: bool = False
     strict_first_row: bool = False
@@ -114,6 +116,9 @@ class MergeSpec:
 def _known(kind, settings: dict) -> dict:
     """Settings with a value; an empty one means its default, a misspelt one is an error."""
     names = {f.name for f in fields(kind)}
+    if IGNORED & set(settings):
+        warnings.warn(f"{', '.join(sorted(IGNORED & set(settings)))} has no effect", stacklevel=3)
+        settings = {k: v for k, v in settings.items() if k not in IGNORED}
     wrong = sorted(set(settings) - names)
     if wrong:
         raise ValueError(f"unknown settings {', '.join(wrong)} (use {', '.join(sorted(names))})")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_blend.functions.keys import POSITION
-from corpus_blend.operators.position import with_position
+from corpus_blend.operators.position import settled, with_position
 from corpus_blend.operators.select import first_rows, sample_fraction
 from corpus_blend.plans.spec import SourceSpec
 
@@ -35,6 +39,8 @@ MISSING_CELLS = (
     "null",
 )
 
+MOST_HEADERS = 100  # files of one source with more kinds of headers than this are a mistake
+
 
 def reader_for(path: str, reader: str | None = None) -> str:
     """The reader asked for, else the one of the path's ending."""
@@ -50,30 +56,76 @@ def load_file(
     reader: str | None = None,
     schema: str | T.StructType | None = None,
     order_by=None,
-    multi_line: bool = False,
+    multi_line: bool = True,
     missing_cells: bool = True,
     base_path: str | None = None,
+    settle: bool = True,
 ) -> DataFrame:
     """Files, a folder or a glob as a DataFrame with a position.
 
-    CSV cells stay text. ``multi_line`` reads quoted line breaks in CSV, at the
-    price of one task per file; without it a CSV file is split like any other.
-    A broken JSON record is an error, not a lost row.
+    CSV cells stay text, and files whose headers differ are matched by column name. Quoted line
+    breaks are read as such, one file by one task; ``multi_line=False`` splits CSV files like any
+    others, for files without such breaks. A broken JSON record, or a CSV row with more or fewer
+    cells than its header, is an error, not a lost row.
+
+    Rows of CSV and JSON have no number of their own, so without ``order_by`` they are written to
+    the shared folder with their positions, once, unless ``settle`` is off: such positions only
+    hold for one reading.
     """
     kind = reader_for(path if isinstance(path, str) else path[0], reader)
     source = spark.read
-    if schema:
-        source = source.schema(schema)
     if base_path:
         source = source.option("basePath", base_path)
     if kind == "csv":
-        rows = source.options(header=True, multiLine=multi_line, escape='"').format("csv").load(path)
-        positioned = with_position(rows, order_by)
-        return _without_missing(positioned, rows.columns) if missing_cells else positioned
+        parts = [
+            with_position(part, order_by)
+            for part in _csv_parts(source, path, schema, multi_line, spark)
+        ]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows = _without_missing(rows, [c for c in rows.columns if c not in POSITION]) if missing_cells else rows
+        return settled(rows, order_by) if settle else rows
+    if schema:
+        source = source.schema(schema)
     if kind != "parquet":
         source = source.option("mode", "FAILFAST").option("multiLine", kind == "json")
-    rows = source.format("json" if kind == "jsonl" else kind).load(path)
-    return with_position(rows, order_by)
+    rows = with_position(source.format("json" if kind == "jsonl" else kind).load(path), order_by)
+    return settled(rows, order_by) if settle else rows
+
+
+def _csv_parts(source, path, schema, multi_line: bool, spark: SparkSession) -> list[DataFrame]:
+    """One frame per header that occurs. With several, or a declared schema, each file is held
+    against its own header; columns are then matched by name."""
+
+    def read(files):
+        options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "FAILFAST"}
+        checked = source.options(**options, enforceSchema=False)
+        if schema:
+            checked = checked.schema(schema)
+        return checked.format("csv").load(files)
+
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    headers = first.groupBy("header").agg(F.collect_list("file").alias("files")).limit(MOST_HEADERS + 1).collect()
+    if len(headers) <= 1 or schema:
+        return [read(path)]
+    if len(headers) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers in {path}: are these files one source?")
+    return [read([plain_path(f) for f in sorted(r["files"])]) for r in sorted(headers, key=lambda r: min(r["files"]))]
+
+
+def plain_path(uri: str) -> str:
+    """A file's URI as Spark's metadata has it, as a path that reads that file."""
+    return escaped(unquote(uri))
+
+
+def escaped(path: str) -> str:
+    """A path in which no character makes a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 def _without_missing(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,27 +141,34 @@ def first_file_rows(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """The first rows of files that are read in order of their names: only the first files
     are opened, twice as many until they hold enough.
 
-    A streamed source takes its columns from those files; another has those of all files.
+    Columns are those of all files, or the declared ``schema``; without one JSON and CSV files
+    are all looked at once to find them.
     """
     path, n = spec.local_path, spec.max_samples
     kind = reader_for(path, spec.reader)
-    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    names = spark.read.format("binaryFile").load(path).select("path")
     schema = spec.schema
-    if not schema and not spec.streaming:
-        schema = read_source(spark, spec).drop(*POSITION).schema
-    folder = not any(c in path for c in "*?[{") and len(files) > 0 and not files[0].endswith(path)
+    if not schema:
+        schema = read_source(spark, spec, settle=False).drop(*POSITION).schema
+    folder = not any(c in path for c in "*?[{")
     opened = 1
     while True:
+        # as many names as files are opened, never the whole list
+        files = [escaped(r["path"]) for r in names.orderBy("path").limit(opened + 1).collect()]
+        last = len(files) <= opened
         rows = load_file(
             spark,
             files[:opened],
             kind,
-            schema,
+            schema if kind != "csv" else spec.schema,
             multi_line=spec.multi_line,
-            base_path=path if folder else None,
+            base_path=path if folder and files and not files[0].endswith(escaped(path)) else None,
+            settle=False,
         )
-        if opened >= len(files) or rows.count() >= n:
-            return first_rows(rows, n)
+        if kind == "csv" and not spec.schema:
+            rows = rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in rows.columns))
+        if last or rows.count() >= n:
+            return first_rows(settled(rows), n)
         opened *= 2
 
 
@@ -123,18 +182,18 @@ def load_table(
     """A catalog table with a position; ``split`` and ``config`` select rows where the table
     has a column of that name."""
     table = spark.table(name)
-    rows = with_position(table, order_by)
+    rows = settled(with_position(table, order_by), order_by)
     for column, value in (("split", split), ("config", config)):
         if value is not None and column in table.columns:
             rows = rows.where(F.col(column) == value).drop(column)
     return rows
 
 
-def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+def read_source(spark: SparkSession, spec: SourceSpec, settle: bool = True) -> DataFrame:
     """All rows of a source, before its cap and sample."""
     if spec.local_path:
         return load_file(
-            spark, spec.local_path, spec.reader, spec.schema, spec.order_by, spec.multi_line
+            spark, spec.local_path, spec.reader, spec.schema, spec.order_by, spec.multi_line, settle=settle
         )
     return load_table(spark, spec.repo_id, spec.split, spec.config, spec.order_by)
 
