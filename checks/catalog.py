@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +13,11 @@ from pyspark.sql import functions as F
 
 import corpus_blend as cb
 from checks import derived as d
-from corpus_blend.functions.chat import row_length
+from corpus_blend.functions.chat import row_hash, row_length
 from corpus_blend.operators import report
 from corpus_blend.plans.merge import Blend
-from corpus_blend.plans.spec import MergeSpec
-from corpus_blend.sinks.files import preview, save
+from corpus_blend.plans.spec import MergeSpec, load_config
+from corpus_blend.sinks.files import preview, publish, save
 from corpus_blend.sources.load import load_file, load_source
 from corpus_blend.staging import new_folder
 from corpus_blend.streaming.ingest import ingest
@@ -99,6 +103,23 @@ def _scalar_fields(spark, sf_dir):
     return cb.with_position(docs, "key")
 
 
+def _deep_json(spark, sf_dir):
+    """Every text as JSON six levels deep; every third as a bare object, which is no text to unpack."""
+    docs = d.text(spark, sf_dir)
+    inner = F.to_json(F.array(F.struct(F.struct(F.array(F.struct(F.col("text").alias("value"))).alias("content")).alias("text"))))
+    bare = F.to_json(F.struct(F.col("text").alias("b"), F.lit(2).alias("a")))
+    return docs.withColumn("text", F.when(F.col("key") % 3 == 0, bare).otherwise(inner))
+
+
+def detect_empty_first(spark, sf_dir):
+    """Chats of which all but the last few are empty still are chats."""
+    rows = d.chatml(spark, sf_dir)
+    late = F.col("key") >= rows.agg(F.max("key") - 2).scalar()
+    rows = rows.withColumn("messages", F.when(late, F.col("messages")).otherwise(F.slice("messages", 1, 0)))
+    found = report.inspect_source(rows.drop("key"), "chats")
+    return _listed(found)
+
+
 def _word_lists(spark, sf_dir):
     return d.text(spark, sf_dir).withColumn("text", F.split("text", " "))
 
@@ -124,7 +145,19 @@ def _per_source(df: DataFrame, target: str = "chatml") -> DataFrame:
 
 def inspect_sources(spark, sf_dir):
     rows = [report.inspect_source(d.table(spark, sf_dir, t), t) for t in TABLES]
-    return reduce(DataFrame.unionByName, rows).drop("sample")
+    return _listed(reduce(DataFrame.unionByName, rows))
+
+
+def _listed(inspected: DataFrame) -> DataFrame:
+    return inspected.withColumn("columns", F.array_join("columns", ",")).drop("sample")
+
+
+def inspect_profile(spark, sf_dir):
+    """The inspect job with its profile, of a source named in a configuration."""
+    d.text(spark, sf_dir).select("key", "text").createOrReplaceTempView("cb_profiled")
+    spec = MergeSpec.from_dict({"datasets": [{"repo_id": "cb_profiled", "order_by": "key"}]})
+    found = cb.inspect_sources(spark, spec, profile=True)
+    return _listed(found).select("source", "format", "n_rows", "columns", "avg_length", "n_missing", "n_empty")
 
 
 def inspect_layouts(spark, sf_dir):
@@ -146,7 +179,7 @@ def inspect_layouts(spark, sf_dir):
         report.inspect_source(source(spark, sf_dir).drop("key"), label)
         for label, source in sources.items()
     ]
-    return reduce(DataFrame.unionByName, rows).drop("sample")
+    return _listed(reduce(DataFrame.unionByName, rows))
 
 
 def source_profile(spark, sf_dir):
@@ -195,16 +228,28 @@ def align_missing(spark, sf_dir):
     )
 
 
+def _with_content(source, content):
+    """Rows with their position and a text of their own, which interleaving carries along."""
+
+    def run(spark, sf_dir):
+        return source(spark, sf_dir).select("key", content.alias("content"), "_src", "_file", "_row")
+
+    return run
+
+
 def _mixed(weights, stop):
+    said = F.array_join(F.transform("messages", lambda m: m.getField("content")), "|")
+    sources = [(d.text, F.col("text")), (d.chatml, said), (d.qa, F.col("question"))]
+
     def run(spark, sf_dir):
-        sources = [d.text, d.chatml, d.qa]
-        frames = [s(spark, sf_dir).select("key", "_src", "_file", "_row") for s in sources]
+        frames = [_with_content(s, c)(spark, sf_dir) for s, c in sources]
         mixed = cb.interleave(frames, weights, 42, stop)
         return mixed.select(
             F.col("_row").alias("draw"),
             F.col("_from").cast("bigint").alias("source"),
             F.col("_index").alias("row_index"),
             "key",
+            "content",
         )
 
     return run
@@ -316,8 +361,19 @@ def source_counts(spark, sf_dir):
 
 
 def source_report(spark, sf_dir):
-    formats = {"chats": "chatml", "tasks": "alpaca", "texts": "text", "answers": "qa"}
-    return report.source_report(_reported(spark, sf_dir), "chatml", formats)
+    found = report.source_report(_reported(spark, sf_dir), "chatml", ["chatml", "alpaca", "text", "qa"])
+    return found.withColumn("source", F.col("source").cast("bigint"))
+
+
+def source_report_twice(spark, sf_dir):
+    """One table listed twice is two sources with one label."""
+    even = F.col("key") % 2 == 0
+    frames = [
+        cb.to_target(d.text(spark, sf_dir).where(part), "text", "text", "texts", split)
+        for part, split in ((even, "train"), (~even, "test"))
+    ]
+    found = report.source_report(cb.concatenate(frames), "text", ["text", "text"])
+    return found.withColumn("source", F.col("source").cast("bigint"))
 
 
 def role_counts(spark, sf_dir):
@@ -360,19 +416,97 @@ def _spec(spark, sf_dir, **output) -> MergeSpec:
     )
 
 
+def _in_order(final: DataFrame, target: str) -> DataFrame:
+    """Every final row with its place in its split and a hash of its content."""
+    rows = final.select(
+        "source_dataset",
+        "split",
+        row_hash(target).alias("content"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    placed = cb.dense_index(rows, ["split", "_at"], within="split")
+    return placed.select("source_dataset", "split", "content", F.col("_index").alias("position"))
+
+
 def _merged(**output):
     def run(spark, sf_dir):
         final = Blend(spark, _spec(spark, sf_dir, **output)).final()
-        target = output.get("target_format", "chatml")
-        return final.groupBy("source_dataset", "split").agg(
-            F.count("*").alias("n_rows"), F.sum(row_length(target)).alias("n_chars")
-        )
+        return _in_order(final, output.get("target_format", "chatml"))
 
     return run
 
 
+def _json_lines(spark, sf_dir, table: str, key: str) -> str:
+    """The texts of a table as JSON Lines in order of their key, in several files."""
+    rows = d.table(spark, sf_dir, table).select("text", key)
+    ordered = rows.repartitionByRange(5, key).sortWithinPartitions(key).select("text")
+    return save(ordered, new_folder(spark, "lines"), ["jsonl"], None)["jsonl"]
+
+
+def _plain(datasets: list[dict], **output) -> MergeSpec:
+    settings = {"target_format": "text", "dedupe": False, "shuffle": False, **output}
+    return MergeSpec.from_dict({"datasets": datasets, "output": settings})
+
+
+def merge_jsonl_interleave(spark, sf_dir):
+    """Two folders of JSON Lines without a column to order by, mixed in turn."""
+    paths = [_json_lines(spark, sf_dir, "documents", "doc_id"), _json_lines(spark, sf_dir, "benchmark", "item_id")]
+    spec = _plain([{"local_path": p, "reader": "jsonl"} for p in paths], mode="interleave")
+    placed = _in_order(Blend(spark, spec).final(), "text")
+    source = F.when(F.col("source_dataset") == paths[0], "documents").otherwise("benchmark")
+    return placed.withColumn("source_dataset", source)
+
+
+def merge_jsonl_capped_sampled(spark, sf_dir):
+    """A cap, then a share, of JSON Lines without a column to order by: exact sizes."""
+    path = _json_lines(spark, sf_dir, "documents", "doc_id")
+    spec = _plain([{"local_path": path, "reader": "jsonl", "max_samples": 3 * HEAD, "sample_fraction": SHARE}])
+    blend = Blend(spark, spec)
+    final = blend.final()
+    first = d.table(spark, sf_dir, "documents").orderBy("doc_id").limit(3 * HEAD).select("text").distinct()
+    known = final.join(first, "text", "left_semi").agg(F.count("*").alias("n_known"))
+    counted = final.agg(F.count("*").alias("n_rows"))
+    planned = F.lit(blend.n_final).cast("bigint").alias("n_planned")
+    return counted.select("n_rows", planned, known.scalar().alias("n_known"))
+
+
+def merge_view_without_order(spark, sf_dir):
+    """A view whose rows come in any order, mixed by weight and deduplicated: all texts are there."""
+    d.table(spark, sf_dir, "documents").select("text").repartition(7).createOrReplaceTempView("cb_any_order")
+    d.table(spark, sf_dir, "benchmark").select("text").repartition(3).createOrReplaceTempView("cb_any_items")
+    spec = _plain(
+        [{"repo_id": "cb_any_order"}, {"repo_id": "cb_any_items"}],
+        mode="interleave", probabilities=[5, 3], dedupe=True, shuffle=True,
+    )
+    return Blend(spark, spec).final().select(F.sha2("text", 256).alias("content"))
+
+
+def merge_many_roles(spark, sf_dir):
+    """More roles than a summary would list."""
+    docs = d.table(spark, sf_dir, "documents")
+    turn = lambda name: F.struct(F.concat(F.lit(name), "doc_id").alias("role"), F.col("text").alias("content"))
+    docs.select("doc_id", F.array(turn("a"), turn("b")).alias("messages")).createOrReplaceTempView("cb_roles")
+    spec = MergeSpec.from_dict({"datasets": [{"repo_id": "cb_roles", "order_by": "doc_id"}], "output": {"dedupe": False}})
+    return Blend(spark, spec).statistics()["role_counts"]
+
+
+def merge_from_file(spark, sf_dir):
+    """The same merge as merge_counters, its configuration written to a file and read from there."""
+    names = _views(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "config.json")
+        output = {"min_length": BOUNDS[0], "max_length": BOUNDS[1], "train_test_split": 0.1, "system_prompt": PROMPT}
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump({"datasets": [{"repo_id": n, "order_by": "key"} for n in names], "output": output}, file)
+        spec = load_config(path)
+    return _counters(Blend(spark, spec))
+
+
 def merge_counters(spark, sf_dir):
-    blend = Blend(spark, _spec(spark, sf_dir))
+    return _counters(Blend(spark, _spec(spark, sf_dir)))
+
+
+def _counters(blend: Blend) -> DataFrame:
     counts = {**blend.counters(), **{f"{k}_rows": v for k, v in blend.splits().items()}}
     blank = report.quality_of(blend.survivors, F.col("_blank"))
     return blank.select(
@@ -420,7 +554,20 @@ def read_json(spark, sf_dir):
 def read_parquet_order(spark, sf_dir):
     """File position stands in for an order column."""
     rows = load_file(spark, f"{sf_dir}/documents.parquet")
-    return cb.first_rows(rows, HEAD).select("doc_id", "text")
+    placed = cb.dense_index(rows.select("doc_id", "text", "_src", "_file", "_row"))
+    return placed.select("doc_id", "text", F.col("_index").alias("position"))
+
+
+def read_csv_two_headers(spark, sf_dir):
+    """A folder whose name holds a space and a percent sign, with files whose columns are in a
+    different order: cells go by name."""
+    folder = f"{new_folder(spark, 'two headers 100%')}"
+    docs = _documents(spark, sf_dir)
+    halves = (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").select("n_chars", "lang", "text", "doc_id"))
+    for half in halves:
+        half.coalesce(1).write.mode("append").options(header=True, escape='"').csv(folder)
+    rows = load_file(spark, folder, "csv")
+    return rows.select(F.col("doc_id").cast("bigint"), "text", "lang", F.col("n_chars").cast("bigint"))
 
 
 def read_capped(spark, sf_dir):
@@ -449,7 +596,7 @@ def write_round_trip(spark, sf_dir):
     written = save(split, new_folder(spark, "saved"), ["jsonl", "csv", "parquet"])
     frames = []
     for kind, folder in written.items():
-        back = load_file(spark, folder, kind, multi_line=True)
+        back = load_file(spark, folder, kind)
         if kind == "csv":
             messages = F.from_json("messages", "array<struct<role:string,content:string>>")
             back = back.withColumn("messages", messages)
@@ -460,12 +607,23 @@ def write_round_trip(spark, sf_dir):
                 "split",
                 F.size("messages").cast("bigint").alias("n_messages"),
                 row_length("chatml").alias("length"),
+                row_hash("chatml").alias("content"),
                 "source_dataset",
             )
         )
     return reduce(DataFrame.unionByName, frames)
 
 
+def publish_round_trip(spark, sf_dir):
+    """Texts published as a catalog table and read back from it as a source."""
+    rows = cb.to_target(d.text(spark, sf_dir), "text", "text", "texts", keep=["key"])
+    split = cb.split_train_test(rows, 0.1, 42, "key").select("key", "text", "split")
+    name = f"cb_published_{uuid.uuid4().hex}"  # a table of an earlier session would be in the way
+    publish(split, name)
+    back = load_source(spark, MergeSpec.from_dict({"datasets": [{"repo_id": name, "split": "test"}]}).sources[0])
+    return back.select("key", "text")
+
+
 def saved_preview(spark, sf_dir):
     """The first rows of a saved folder whose files are in order."""
     docs = d.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -494,6 +652,8 @@ def queries() -> dict:
         "flagship_merge": flagship,
         "inspect_sources": inspect_sources,
         "inspect_layouts": inspect_layouts,
+        "inspect_profile": inspect_profile,
+        "detect_empty_first": detect_empty_first,
         "source_profile": source_profile,
         "source_roles": source_roles,
         "peek_pages": peek_pages,
@@ -525,6 +685,7 @@ def queries() -> dict:
         "coerce_scalars": _standard(_scalar_fields),
         "coerce_list": _standard(_word_lists),
         "coerce_json_content": _standard(d.json_blocks, json_content=True),
+        "coerce_json_deep": _standard(_deep_json, json_content=True),
         # targets
         "chat_to_text": _converted(d.chatml, "text"),
         "roles_to_text": _converted(d.spellings, "text"),
@@ -539,6 +700,7 @@ def queries() -> dict:
         "interleave_round_robin_first": _mixed(None, "first_exhausted"),
         "interleave_weighted": _mixed(WEIGHTS, "all_exhausted"),
         "interleave_weighted_first": _mixed(WEIGHTS, "first_exhausted"),
+        "interleave_unnormalized": _mixed([10 * w for w in WEIGHTS], "first_exhausted"),
         # cleaning
         "system_prompt": system_prompt,
         "length_filter_chat": _filtered(d.chatml, "chatml", "chatml", 500, 5000),
@@ -563,6 +725,7 @@ def queries() -> dict:
         "quality_overall": quality_overall,
         "quality_preference": quality_preference,
         "source_report": source_report,
+        "source_report_twice": source_report_twice,
         "source_counts": source_counts,
         "role_counts": role_counts,
         "length_histogram": length_histogram,
@@ -575,13 +738,20 @@ def queries() -> dict:
         "full_merge_interleave": _merged(mode="interleave", probabilities=[0.2, 0.3, 0.4, 0.1]),
         "full_merge_repeats": _merged(mode="interleave", dedupe=False),
         # files
-        "read_csv": _read_back("csv", multi_line=True),
+        "merge_jsonl_interleave": merge_jsonl_interleave,
+        "merge_jsonl_capped_sampled": merge_jsonl_capped_sampled,
+        "merge_view_without_order": merge_view_without_order,
+        "merge_many_roles": merge_many_roles,
+        "merge_from_file": merge_from_file,
+        "read_csv": _read_back("csv"),
+        "read_csv_two_headers": read_csv_two_headers,
         "read_jsonl": _read_back("jsonl"),
         "read_json": read_json,
         "read_parquet_order": read_parquet_order,
         "read_capped": read_capped,
         "read_table": read_table,
         "write_round_trip": write_round_trip,
+        "publish_round_trip": publish_round_trip,
         "saved_preview": saved_preview,
         "stream_ingest": stream_ingest,
     }

@@ -128,8 +128,14 @@ def _split(identity: str, seed: int = 42, share: float = 0.1) -> str:
   FROM kept)"""
 
 
-PER_SPLIT = """SELECT label AS source_dataset, split, count(*) AS n_rows,
-  sum(len)::BIGINT AS n_chars FROM parted GROUP BY ALL"""
+def _ordered(identity: str, ties: str, content: str = "h") -> str:
+    """Each final row with its place in its split."""
+    return f"""SELECT label AS source_dataset, split, {content} AS content,
+  row_number() OVER (PARTITION BY split ORDER BY substr(md5('42:' || {identity}), 1, 13), {ties}) - 1 AS position
+FROM parted"""
+
+
+PER_SPLIT = _ordered("h", "h")
 MERGE = [TURNS, ALPACA, QA, HALF_EMPTY, _merged_rows(prompt=True)]
 MERGE_KEPT = [*MERGE, _kept("merged", "src, key"), _split("h")]
 
@@ -148,9 +154,9 @@ sizes AS (SELECT src, count(*) AS n FROM merged GROUP BY src)"""
 # --- draws ---------------------------------------------------------------------------------
 
 MIXED = """rows AS (
-  SELECT 0 AS src, doc_id AS key FROM documents
-  UNION ALL SELECT DISTINCT 1, conv_id FROM conversations
-  UNION ALL SELECT 2, key FROM qa),
+  SELECT 0 AS src, doc_id AS key, text AS content FROM documents
+  UNION ALL SELECT 1, conv_id, string_agg(text, '|' ORDER BY turn) FROM conversations GROUP BY conv_id
+  UNION ALL SELECT 2, key, question FROM qa),
 indexed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY key) - 1 AS i FROM rows),
 sizes AS (SELECT src, count(*) AS n FROM rows GROUP BY src)"""
 
@@ -182,7 +188,7 @@ def _round_robin(stop: str) -> str:
 used AS (SELECT c * (SELECT count(*) FROM sizes) + src AS t, src, c % n AS i FROM cycles, sizes)"""
 
 
-USED = """SELECT t AS draw, u.src::BIGINT AS source, u.i AS row_index, x.key
+USED = """SELECT t AS draw, u.src::BIGINT AS source, u.i AS row_index, x.key, x.content
 FROM used u JOIN indexed x ON x.src = u.src AND x.i = u.i"""
 
 # --- reports ----------------------------------------------------------------------------------
@@ -277,6 +283,7 @@ def _rate(rows: str, blank: str, limit: float, by: str | None = None) -> str:
 
 # a merged row is blank when nothing but role names, separators and spaces is left of it
 ANSWER_BLANK = "src = 3 AND payload = 'user: ||assistant: '"
+BLANK_TEXT = "NOT regexp_matches(text, '[^ \\t\\n\\r]')"
 TOP_REPEATS = """SELECT key, source, substr(content, 1, 140) AS preview FROM (
   SELECT key, source, content, part,
          row_number() OVER (PARTITION BY payload ORDER BY part, key) AS rn FROM {rows})
@@ -294,8 +301,9 @@ ALL_DOCUMENTS = "SELECT doc_id, text, lang, n_chars FROM documents"
 SAVED = """SELECT unnest(['jsonl', 'csv', 'parquet']) AS kind, key,
   CASE WHEN row_number() OVER (ORDER BY substr(md5('42/split:' || key), 1, 13), key)
        <= ceil(count(*) OVER () * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split,
-  n_messages, length, 'chats' AS source_dataset
-FROM (SELECT conv_id AS key, count(*) AS n_messages, sum(length(text))::BIGINT AS length
+  n_messages, length, content, 'chats' AS source_dataset
+FROM (SELECT conv_id AS key, count(*) AS n_messages, sum(length(text))::BIGINT AS length,
+             sha256(string_agg(role || ':' || text, '||' ORDER BY turn)) AS content
       FROM conversations GROUP BY conv_id)"""
 
 
@@ -357,6 +365,11 @@ UNION ALL SELECT key, idx + CASE WHEN first_value(role) OVER (PARTITION BY key O
         ),
         "inspect_sources": _inspected(),
         "inspect_layouts": _layouts(),
+        "inspect_profile": f"""SELECT 'cb_profiled' AS source, 'text' AS format, count(*) AS n_rows,
+  'key,text' AS columns, avg(length(text) + length(doc_id::VARCHAR)) AS avg_length,
+  count(*) FILTER (text = '') AS n_missing, count(*) FILTER ({BLANK_TEXT}) AS n_empty FROM documents""",
+        "detect_empty_first": """SELECT 'chats' AS source, 'chatml' AS format,
+  count(DISTINCT conv_id) AS n_rows, 'messages' AS columns FROM conversations""",
         "source_profile": PROFILE,
         "source_roles": _with(
             SPELLED,
@@ -399,6 +412,8 @@ SELECT doc_id, 1, 'assistant', (n_chars // 2) || CASE WHEN n_chars % 2 = 0 THEN
 FROM documents""",
         "coerce_list": f"""SELECT doc_id AS key, {_joined("string_split(text, ' ')")} AS text
 FROM documents""",
+        "coerce_json_deep": """SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0
+  THEN '{"b":' || to_json(text)::VARCHAR || ',"a":2}' ELSE text END AS text FROM documents""",
         "coerce_json_content": _with(
             TURNS,
             select=f"""SELECT key, idx, role, CASE WHEN role = 'assistant' THEN {_joined(LINES)}
@@ -425,6 +440,7 @@ UNION ALL SELECT 2, count(*), 0, 0, count(*) FROM pairs""",
         "interleave_round_robin": _with(QA, MIXED, _round_robin("all_exhausted"), select=USED),
         "interleave_round_robin_first": _with(QA, MIXED, _round_robin("first_exhausted"), select=USED),
         "interleave_weighted": _with(QA, MIXED, _draws(WEIGHTS, "all_exhausted"), select=USED),
+        "interleave_unnormalized": _with(QA, MIXED, _draws(WEIGHTS, "first_exhausted"), select=USED),
         "interleave_weighted_first": _with(QA, MIXED, _draws(WEIGHTS, "first_exhausted"), select=USED),
         "system_prompt": _with(TURNS, select=prompt_rows),
         "length_filter_chat": """SELECT conv_id AS key, sum(length(text))::BIGINT AS length
@@ -478,9 +494,12 @@ clean AS (SELECT *, lower(trim(regexp_replace(text, '{SPACES}', ' ', 'g'))) AS p
         "source_report": _with(
             *CHATS_TASKS_TEXTS,
             select=f"""SELECT *, CASE source_dataset WHEN 'chats' THEN 'chatml' WHEN 'tasks' THEN 'alpaca'
-  WHEN 'texts' THEN 'text' ELSE 'qa' END AS format
+  WHEN 'texts' THEN 'text' ELSE 'qa' END AS format, CASE source_dataset WHEN 'chats' THEN 0
+  WHEN 'tasks' THEN 1 WHEN 'texts' THEN 2 ELSE 3 END::BIGINT AS source
 FROM ({_rate("merged", ANSWER_BLANK, 0.05, LABELS)})""",
         ),
+        "source_report_twice": f"""SELECT *, 'texts' AS source_dataset, 'text' AS format FROM (
+{_rate("documents", BLANK_TEXT, 0.05, "doc_id % 2").replace("AS source_dataset", "AS source")})""",
         "quality_overall": _with(*CHATS_TASKS_TEXTS, select=_rate("merged", ANSWER_BLANK, 0.02)),
         "quality_preference": _with(
             PAIRS, select=_rate("pairs", "trim(chosen) = '' OR trim(rejected) = ''", 0.05, "'pairs'")
@@ -494,23 +513,41 @@ FROM ({_rate("merged", ANSWER_BLANK, 0.05, LABELS)})""",
         "merge_counters": _with(*MERGE_KEPT, select=counters),
         "merge_lengths": _with(*MERGE_KEPT, select=_bins("parted")),
         "merge_roles": _with(*MERGE_KEPT, select=merge_roles),
+        "merge_from_file": _with(*MERGE_KEPT, select=counters),
+        "merge_many_roles": """SELECT unnest(['a', 'b']) || doc_id AS role, count(*) AS n_messages
+FROM documents GROUP BY 1""",
+        "merge_view_without_order": """SELECT sha256(text) AS content FROM (
+  SELECT text FROM documents UNION SELECT text FROM benchmark)""",
+        "merge_jsonl_capped_sampled": f"""SELECT greatest(1, floor(least({3 * HEAD}, n) * {SHARE}::DOUBLE))::BIGINT AS n_rows,
+  n_rows AS n_planned, n_rows AS n_known FROM (SELECT count(*) AS n FROM documents)""",
+        "merge_jsonl_interleave": """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, text FROM documents),
+b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, text FROM benchmark),
+t AS (SELECT unnest(range((SELECT greatest((SELECT count(*) FROM d), (SELECT count(*) FROM b))))) AS c)
+SELECT 'documents' AS source_dataset, 'train' AS split, sha256(text) AS content, 2 * c AS position
+FROM t JOIN d ON d.i = c % (SELECT count(*) FROM d)
+UNION ALL SELECT 'benchmark', 'train', sha256(text), 2 * c + 1
+FROM t JOIN b ON b.i = c % (SELECT count(*) FROM b)""",
         "full_merge": _with(*MERGE_KEPT, select=PER_SPLIT),
         "full_merge_text": _with(
             TURNS, ALPACA, QA, HALF_EMPTY, TEXT_MERGED, _kept("measured", "src, key"), _split("h"),
             select=PER_SPLIT,
         ),
         "full_merge_interleave": _with(*drawn, _kept("mixed", "t"), _split("h"), select=PER_SPLIT),
-        "full_merge_repeats": _with(*repeats, rr_kept, rr_parted, select=PER_SPLIT),
+        "full_merge_repeats": _with(*repeats, rr_kept, rr_parted, select=_ordered("h", "t", "sha256(payload)")),
         "read_csv": "SELECT doc_id, nullif(text, '') AS text, lang, n_chars FROM documents",
         "read_jsonl": ALL_DOCUMENTS,
         "read_json": ALL_DOCUMENTS,
-        "read_parquet_order": f"SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {HEAD}",
+        "read_csv_two_headers": "SELECT doc_id, nullif(text, '') AS text, lang, n_chars FROM documents",
+        "read_parquet_order": "SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents",
         "read_capped": f"SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {HEAD}",
         "read_table": f"""SELECT doc_id, text FROM (SELECT doc_id, text,
   row_number() OVER (ORDER BY substr(md5('42/sample:0::' || doc_id), 1, 13), doc_id)
     <= greatest(1, floor(count(*) OVER () * {SHARE}::DOUBLE)) AS chosen
   FROM documents WHERE doc_id % 4 <> 0) WHERE chosen""",
         "write_round_trip": SAVED,
+        "publish_round_trip": """SELECT key, text FROM (SELECT doc_id AS key, text,
+  row_number() OVER (ORDER BY substr(md5('42/split:' || doc_id), 1, 13), doc_id)
+    <= ceil(count(*) OVER () * 0.1::DOUBLE) AS chosen FROM documents) WHERE chosen""",
         "saved_preview": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50",
         "stream_ingest": assistant,
     }
