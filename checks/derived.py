@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpus_blend import dense_index, with_position
 
 TURN_BITS = 32
-MOST_LANGUAGES = 10_000
 LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -161,30 +160,30 @@ def alpaca(spark, sf_dir) -> DataFrame:
 
 
 def preference(spark, sf_dir) -> DataFrame:
-    """Good texts, each with a bad one of its language; bad ones are used in turn."""
+    """Good texts, each with a bad one of its language; bad ones are used in turn.
+
+    Who goes with whom is worked out on ids; texts are joined to the finished pairs.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    labelled = docs.drop("text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     numbered = dense_index(
         labelled.withColumn("_kind", F.concat_ws("/", "lang", "quality")),
         ["_kind", "doc_id"],
         within="_kind",
     )
-    good = numbered.where("quality = 1").select(
-        "lang", F.col("doc_id").alias("key"), F.col("_index").alias("r"), F.col("text").alias("chosen")
-    )
-    bad = numbered.where("quality = 0").select(
-        "lang", F.col("_index").alias("b"), F.col("text").alias("rejected")
-    )
+    good = numbered.where("quality = 1").select("lang", F.col("doc_id").alias("key"), F.col("_index").alias("r"))
+    bad = numbered.where("quality = 0").select("lang", F.col("_index").alias("b"), F.col("doc_id").alias("other"))
     sizes = bad.groupBy("lang").agg(F.count("*").alias("n"))
-    if sizes.count() <= MOST_LANGUAGES:  # so that no language's rows meet in one task
-        sizes = F.broadcast(sizes)
-    pairs = (
+    ids = (
         good.join(sizes, "lang")
         .withColumn("b", F.col("r") % F.col("n"))
         .join(bad, ["lang", "b"])
-        .select("key", first_line("chosen").alias("prompt"), "chosen", "rejected")
+        .select("key", "other")
     )
-    return with_position(pairs, "key")
+    chosen = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("chosen"))
+    rejected = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("rejected"))
+    pairs = ids.join(chosen, "key").join(rejected, "other")
+    return with_position(pairs.select("key", first_line("chosen").alias("prompt"), "chosen", "rejected"), "key")
 
 
 def near_copies(spark, sf_dir) -> DataFrame:

@@ -15,6 +15,7 @@ from corpus_blend.functions.text import to_text
 from corpus_blend.operators.detect import TURN_KEYS, UNKNOWN, detect_format
 from corpus_blend.operators.select import peek
 from corpus_blend.operators.standardize import blank_after
+from corpus_blend.staging import stage
 
 # The rates above which a source, or the whole result, is flagged.
 SOURCE_EMPTY_RATE = 0.05
@@ -56,9 +57,9 @@ def role_counts(df: DataFrame) -> DataFrame:
 def histogram_of(df: DataFrame, length: Column, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Rows per equal-width length bin, closed on the right; empty bins are left out.
 
-    Lengths are counted first; bounds and bins are then taken from those counts.
+    Rows are read once, to count the lengths; bounds and bins are taken from those counts.
     """
-    counts = df.groupBy(length.alias("length")).agg(F.count("*").alias("n"))
+    counts = stage(df.groupBy(length.alias("length")).agg(F.count("*").alias("n")), "lengths")
     low = counts.agg(F.min("length")).scalar()
     high = counts.agg(F.max("length")).scalar()
     placed = counts.select("length", "n", low.alias("low"), high.alias("high"))

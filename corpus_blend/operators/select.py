@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_blend.functions.keys import (
@@ -20,8 +20,7 @@ from corpus_blend.staging import stage
 
 STEP_BITS = 12  # a counting pass has 2^12 groups, in each task and on the driver
 SMALL = 10_000  # a group of at most this many keys is finished by an ordered take
-ORDERED_TAKE = 100_000  # first_rows sorts all keys beyond this many rows
-BROADCAST_ROWS = 200_000  # about 10 MB of partition offsets
+ORDERED_TAKE = 10_000  # keys each task of first_rows may send to one; beyond, they are indexed
 TASK_BITS = 33  # monotonically_increasing_id keeps the task number above these bits
 
 
@@ -167,7 +166,6 @@ def dense_index(df: DataFrame, order=POSITION, within: str | None = None) -> Dat
     order = as_list(order)
     if within and order[0] != within:
         order = [within, *order]
-    spark = df.sparkSession
     numbered = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -175,22 +173,16 @@ def dense_index(df: DataFrame, order=POSITION, within: str | None = None) -> Dat
         .withColumn("_part", F.shiftright("_id", TASK_BITS).cast("int"))
     )
     written = stage(numbered, "indexed")
-    group = F.col(within).cast("string") if within else F.lit("")
+    # as JSON, so that a null group is a group like any other
+    group = F.to_json(F.struct(F.col(within).alias("g"))) if within else F.lit("")
     # rows = partitions written, plus one for each group that begins inside one
-    sizes = sorted(
-        written.groupBy("_part", group.alias("_group"))
-        .agg(F.count("*").alias("n"), F.min("_id").alias("first"))
-        .collect(),
-        key=lambda r: (r["_part"], r["first"]),
+    sizes = written.groupBy("_part", group.alias("_group")).agg(
+        F.count("*").alias("n"), F.min("_id").alias("first")
     )
-    before: dict[str, int] = {}
-    starts = []
-    for r in sizes:
-        starts.append((r["_part"], r["_group"], before.get(r["_group"], 0) - r["first"]))
-        before[r["_group"]] = before.get(r["_group"], 0) + r["n"]
-    shift = spark.createDataFrame(starts, "_part int, _group string, _shift bigint")
-    if len(starts) <= BROADCAST_ROWS:
-        shift = F.broadcast(shift)
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    # written out, so that its true size decides whether it is broadcast
+    shift = stage(sizes.select("_part", "_group", (before - F.col("first")).alias("_shift")), "offsets")
     return (
         written.withColumn("_group", group)
         .join(shift, ["_part", "_group"])

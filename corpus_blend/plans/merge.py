@@ -131,6 +131,11 @@ def _fit_shuffles(spark: SparkSession, rows: int) -> None:
         spark.conf.set(name, needed)
 
 
+def _with_origin(rows: DataFrame) -> DataFrame:
+    """With the position that rows were read at, which is their own unless they were interleaved."""
+    return rows if "_origin" in rows.columns else rows.withColumn("_origin", F.struct(*POSITION))
+
+
 class Blend:
     """A merge worked out up to its final rows: narrow tables first, text on demand."""
 
@@ -147,13 +152,14 @@ class Blend:
         self.facts = self.rows.select(*POSITION, *facts)
         if not out.stage_text:
             self.facts = stage(self.facts, "facts")
-        narrow = self.facts.drop("_blank_source").withColumn("_origin", F.struct(*POSITION))
+        narrow = self.facts.drop("_blank_source")
         self.sources = self._source_report()
         lengths = {i: s["rows"] for i, s in enumerate(self.sources) if s["rows"]}
         self.rows_before = sum(lengths.values())
         _fit_shuffles(spark, self.rows_before)
         self.picks = None
         if out.mode == "interleave":
+            narrow = narrow.withColumn("_origin", F.struct(*POSITION))  # which picking replaces
             self.indexed = dense_index(narrow, POSITION, within=SRC)
             self.picks = plan_picks(
                 spark, lengths, out.probabilities, out.seed, out.stopping_strategy
@@ -225,13 +231,13 @@ class Blend:
     def _survivors(self) -> DataFrame:
         """What is known of each final row but its text; ``_copies`` counts equal rows."""
         if not self.out.dedupe:
-            return stage(self.narrow.withColumn("_copies", F.lit(1).cast("bigint")), "survivors")
+            return _with_origin(stage(self.narrow.withColumn("_copies", F.lit(1).cast("bigint")), "survivors"))
         position = F.struct(*POSITION)
         facts = F.struct(*[c for c in self.narrow.columns if c != "_hash"])
         first = self.narrow.groupBy("_hash").agg(
             F.min_by(facts, position).alias("first"), F.count("*").alias("_copies")
         )
-        return stage(first.select("_hash", "_copies", "first.*"), "survivors")
+        return _with_origin(stage(first.select("_hash", "_copies", "first.*"), "survivors"))
 
     def duplicate_examples(self) -> list[dict]:
         """The first dropped rows: where they came from and how they begin."""
@@ -240,7 +246,7 @@ class Blend:
         narrow = self.narrow
         if self.picks is not None:
             narrow = pick_rows(self.indexed, self.picks, EXAMPLES + 1).where(self.kept)
-        keys = narrow.select(*POSITION, "_hash", "_origin")
+        keys = _with_origin(narrow).select(*POSITION, "_hash", "_origin")
         # EXAMPLES rows; as literals, their positions tell the scans which files to skip
         dropped = first_dropped(keys, "_hash").orderBy(*POSITION).collect()
         origins = [tuple(r["_origin"]) for r in dropped]
