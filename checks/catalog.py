@@ -228,21 +228,13 @@ def align_missing(spark, sf_dir):
     )
 
 
-def _with_content(source, content):
-    """Rows with their position and a text of their own, which interleaving carries along."""
-
-    def run(spark, sf_dir):
-        return source(spark, sf_dir).select("key", content.alias("content"), "_src", "_file", "_row")
-
-    return run
-
-
 def _mixed(weights, stop):
-    said = F.array_join(F.transform("messages", lambda m: m.getField("content")), "|")
-    sources = [(d.text, F.col("text")), (d.chatml, said), (d.qa, F.col("question"))]
-
     def run(spark, sf_dir):
-        frames = [_with_content(s, c)(spark, sf_dir) for s, c in sources]
+        said = F.array_join(F.transform("messages", lambda m: m.getField("content")), "|")
+        sources = [(d.text, F.col("text")), (d.chatml, said), (d.qa, F.col("question"))]
+        frames = [
+            s(spark, sf_dir).select("key", c.alias("content"), "_src", "_file", "_row") for s, c in sources
+        ]
         mixed = cb.interleave(frames, weights, 42, stop)
         return mixed.select(
             F.col("_row").alias("draw"),

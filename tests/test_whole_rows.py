@@ -103,11 +103,11 @@ def test_a_source_is_not_written_over(spark, tmp_path):
     assert load_file(spark, source["local_path"], "jsonl").count() == 5
 
 
-def test_one_table_listed_twice(spark):
+def test_one_table_listed_twice(spark, tmp_path):
     rows = [(i, f"t{i}", "train" if i < 7 else "test") for i in range(10)]
     spark.createDataFrame(rows, "id int, text string, split string").createOrReplaceTempView("t_twice")
     source = {"repo_id": "t_twice", "order_by": "id"}
-    spec = text_merge([source | {"split": "train"}, source | {"split": "test"}])
+    spec = text_merge([source | {"split": "train"}, source | {"split": "test"}], save_path=str(tmp_path / "out"))
     found = run_merge(spark, spec)
     assert [(s["rows"], s["rows_kept"]) for s in found["sources"]] == [(7, 7), (3, 3)]
     card = card_text(found)
