@@ -1,5 +1,9 @@
 """Layouts, coercion and targets on the small shapes a merge tool has to cope with."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +280,10 @@ def test_scan_reads_only_what_is_mapped(spark, tmp_path):
     shaped = cb.to_target(spark.read.parquet(path), "text", "chatml")
     plan = shaped._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string>" in plan
+
+
+def test_queries_can_be_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert int(found.stdout) > 80, found.stderr
