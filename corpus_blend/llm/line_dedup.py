@@ -196,7 +196,8 @@ def line_dedup(
     """
     spans = stage(repeated_spans(df, id_col, text_col, min_words), "spans")
     spans = spans.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
-    rows = _keys(df, id_col, text_col).join(spans, ["__doc", "__version"], "left")
+    # There may be as many spans as documents, so whatever their number they are not broadcast.
+    rows = _keys(df, id_col, text_col).join(spans.hint("merge"), ["__doc", "__version"], "left")
     inside = lambda j: F.exists("__spans", lambda s: (j >= s["first"]) & (j <= s["last"]))
     text = F.col(f"`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda _, j: ~inside(j)), "\n")
