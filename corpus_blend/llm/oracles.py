@@ -44,6 +44,23 @@ ORACLES = {
                sha256(coalesce(string_agg(raw_line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+            ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+        r AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
