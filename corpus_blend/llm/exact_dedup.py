@@ -55,7 +55,6 @@ def exact_dedup(
     if digest:
         suspects = same_length.join(prefixes, ["size", "prefix"], "left_semi").select("id", "sha256")
     else:
-        prefixes = stage(prefixes, "exact-prefixes")
         known = [F.octet_length("text").alias("size"), F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix")]
         survivors = rows.select("id", "text", *known).join(prefixes, ["size", "prefix"], "left_semi")
         suspects = stage(survivors.select("id", sha.alias("sha256")), "exact-digests")
@@ -66,6 +65,7 @@ def exact_dedup(
         .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    groups = stage(groups, "exact-groups")
     keep = F.coalesce("first", "id")
     return facts.join(groups, "sha256", "left").select(
         "id",
@@ -78,4 +78,7 @@ def exact_dedup(
 
 def _repeated(df: DataFrame, *keys: str) -> DataFrame:
     """The key values that more than one row has, summed up in each task before they are sent."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    # Written, so that the rows that are joined to it meet it in a plain join of two exchanges: only
+    # there adaptive execution can split a key that very many rows have.
+    return stage(counted, "exact-repeated")
