@@ -2,8 +2,8 @@
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
 and Beyond", 2014). A node's smallest neighbour comes from an aggregation that each task starts on
-its own rows, and goes back to the links by a join whose crowded keys adaptive execution can split:
-no task ever holds all neighbours of a node.
+its own rows and is written out; it goes back to the links by a plain join of two exchanges, the kind
+whose crowded keys adaptive execution can split: no task ever holds all neighbours of a node.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def connected_components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    smallest = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    smallest = stage(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "smallest")
     larger = ways.where("b > a")
     # Where no neighbour is smaller the links stay as they are, so the join keeps them.
     moved = larger.join(smallest, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -49,7 +49,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them."""
-    smallest = links.groupBy("a").agg(F.min("b").alias("least"))
+    smallest = stage(links.groupBy("a").agg(F.min("b").alias("least")), "smallest")
     moved = links.join(smallest, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     own = smallest.select("a", F.col("least").alias("b"))
     return moved.unionByName(own).where("a <> b").distinct()
