@@ -81,10 +81,15 @@ def test_stages(spark, corpus, tmp_path):
     assert all([int.from_bytes(found[i][k : k + 4], "little") for k in range(0, len(found[i]), 4)] == want[i] for i in want)
 
 
-def test_run_is_the_stages_in_a_row(spark, corpus):
-    folder = corpus[0]
-    found = corpus_pipeline.run(spark, folder)
-    assert {"doc_id", "sequence_id", "ids"} <= set(found.columns) and found.count() > 0
+def test_run_is_the_stages_in_a_row(spark, corpus, monkeypatch):
+    """Each stage gets what the one before it returned, written and read again."""
+    steps = [
+        ("odd", lambda spark, docs, sf_dir: docs.where("doc_id % 2 = 1")),
+        ("few", lambda spark, docs, sf_dir: docs.where("doc_id < 50")),
+        ("count", lambda spark, docs, sf_dir: docs.groupBy().count()),
+    ]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", steps)
+    assert [tuple(r) for r in corpus_pipeline.run(spark, corpus[0]).collect()] == [(25,)]
 
 
 def test_every_operator_has_a_query():
