@@ -271,7 +271,7 @@ def test_inspect(spark):
     row = inspect_source(frame(spark, "text string, n int", ("a", None)), "here").first()
     assert tuple(row) == ("here", "text", 1, ["text", "n"], '{"text":"a","n":null}')
     empty = inspect_source(frame(spark, "text string", ("a",)).where("false"), "here").first()
-    assert tuple(empty) == ("here", "text", 0, "text", None)
+    assert tuple(empty) == ("here", "text", 0, ["text"], None)
 
 
 def test_scan_reads_only_what_is_mapped(spark, tmp_path):
