@@ -26,7 +26,9 @@ SPACE = "▁"
 # Fixed values of the format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
-MOST_CACHED = 200_000
+MOST_CACHED = 100_000
+#: Stretches encoded in one call, whose results take far more room than their ids.
+BATCH = 16_384
 
 
 def fields(message: bytes):
@@ -165,10 +167,18 @@ class Coder:
         self.tokenizer = model.tokenizer()
         self.apart = model.stretches_apart()
         self.exact = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
+        self.dummy_prefix = model.dummy_prefix
         self.hidden = np.array([kind == CONTROL for _, _, kind in model.pieces])
+        shown = [_bytes_of(p, kind) for p, _, kind in model.pieces]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(x) for x in shown])
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(texts), BATCH) for ids in self._some_ids(texts[at : at + BATCH])]
+
+    def _some_ids(self, texts: list[str]) -> list[bytes]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if self.exact is not None:
             for text, ids, wanted in zip(texts, found, self.exact.encode(texts, num_threads=1), strict=True):
@@ -209,9 +219,30 @@ class Coder:
         return found
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The text of each row of ids; control pieces have none."""
-        shown = [(x[~self.hidden[x]] if len(x) else x).tolist() for x in ids]
-        return self.tokenizer.decode_batch(shown, skip_special_tokens=False)
+        """The text of each row of ids; control pieces have none.
+
+        The pieces' bytes are put in a row. Where byte pieces are no whole characters, the library's
+        decoder says what is shown for them.
+        """
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        size = self.shown_size[flat]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.shown[np.repeat(self.shown_at[flat] - (ends - size), size) + np.arange(total)].tobytes()
+        edges = np.r_[0, ends][np.cumsum([0, *map(len, ids)])].tolist()
+        texts: list[str] = []
+        for row, a, b in zip(ids, edges[:-1], edges[1:], strict=True):
+            try:
+                texts.append(data[a + (self.dummy_prefix and data[a : min(a + 1, b)] == b" ") : b].decode())
+            except UnicodeDecodeError:
+                texts.append(self.tokenizer.decode(row[~self.hidden[row]].tolist(), skip_special_tokens=False))
+        return texts
+
+
+def _bytes_of(piece: str, kind: int) -> bytes:
+    if kind == CONTROL:
+        return b""
+    return bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(SPACE, " ").encode()
 
 
 def encode(

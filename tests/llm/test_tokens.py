@@ -208,6 +208,19 @@ def test_bpe_parity_and_round_trip():
     assert coder.decode([np.array(x, np.int64) for x in want]) == exact.decode(want)
 
 
+def test_decoding_is_the_librarys():
+    """Byte pieces that are no whole characters among them."""
+    coder = sentence_pieces.Coder(piece_model())
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 300 if i % 2 else 32_000, rng.integers(0, 30)) for i in range(300)]
+    exact = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
+    rows += [np.array(exact.encode(t), np.int64) for t in ODD + SPACED] + [np.array([1, 2, 259]), np.array([0, 13])]
+    want = coder.tokenizer.decode_batch([r[~coder.hidden[r]].tolist() for r in rows], skip_special_tokens=False)
+    assert coder.decode(rows) == want and coder.decode([]) == []
+    with pytest.raises(IndexError):
+        coder.decode([np.array([32_000])])
+
+
 def message(*parts):
     """A protobuf message of ``(number, value)``: whole numbers, floats, bytes."""
     out = b""
