@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 from corpus_blend.llm.common import id_and_text, text_slices
 
+#: Text that a task scores at once.
+SLICE_BYTES = 4 << 20
+#: Words whose n-grams are worked out together: each character takes some hundred bytes meanwhile.
+WORDS_AT_ONCE = 16_384
 #: Stripped from both ends of a word.
 MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -80,6 +84,14 @@ def word_spans(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def subwords(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words' n-grams and of the words themselves, and where each word's begin."""
+    parts = [_some_subwords(words[i : i + WORDS_AT_ONCE], settings) for i in range(0, len(words), WORDS_AT_ONCE)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    shift = np.cumsum([0, *(len(found) for found, _ in parts[:-1])])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + n for p, n in zip(parts, shift, strict=True)])
+
+
+def _some_subwords(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     marked = "".join(f"<{w}>" for w in words)
     points = np.frombuffer(marked.encode("utf-32-le"), "<u4").astype(np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -109,7 +121,7 @@ def subwords(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(owner, kind="stable")
     hashes = np.concatenate(buckets)[order]
     shift = np.uint64(64 - int(settings.buckets).bit_length() + 1)
-    found = ((hashes ^ hashes >> np.uint64(31)) * prime >> shift).astype(np.int64)
+    found = ((hashes ^ hashes >> np.uint64(31)) * prime >> shift).astype(np.int32)
     return found, np.searchsorted(owner[order], np.arange(len(words)))
 
 
@@ -148,7 +160,9 @@ class Model:
         if not len(texts):
             return np.zeros(0)
         words, number, ends = word_spans(texts)
-        worth = self.worth(*subwords(words, self.settings))[number]
+        steps = range(0, len(words), WORDS_AT_ONCE)
+        parts = [self.worth(*subwords(words[i : i + WORDS_AT_ONCE], self.settings)) for i in steps]
+        worth = np.concatenate([np.zeros(0), *parts])[number]
         begin, end, first = windows(ends, self.settings.window)
         odds = np.maximum.reduceat(self.odds(worth, begin, end), first)
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
@@ -268,7 +282,7 @@ def reject(df: DataFrame, model: Model, text_col: str = "text", threshold: float
     def run(batches):
         own = Model(*shared.value)
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            for part in text_slices(batch, text_col, SLICE_BYTES):
                 texts = part.column(text_col).fill_null("")
                 yield part.filter(pa.array(own.score(texts) < threshold))
 
@@ -283,7 +297,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         own = Model(*shared.value)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most_bytes=SLICE_BYTES):
                 found = own.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found)], names=["id", "score"])
 

@@ -49,9 +49,9 @@ def test_held_out_accuracy(spark):
     unseen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     right = [(got[r[0]] >= 0.5) == r[5] for r in unseen]
     assert len(unseen) > 100 and np.mean(right) > 0.95
-    clean, toxic = words(random.Random(9), 40), "sscumbag"
-    scores = model.score(pa.array([" ".join(clean), " ".join([*clean, toxic])]))
-    assert scores[0] < 0.5 < scores[1]
+    clean, never_seen = words(random.Random(9), 40), ["scumbagg", "filthpigs", "worthlesss", "sscumbag"]
+    scores = model.score(pa.array([" ".join(clean), *(" ".join([*clean, w]) for w in never_seen)]))
+    assert scores[0] < 0.01 and (scores[1:] > 20 * scores[0]).all() and (scores[1:] >= 0.5).sum() >= 3
     kept = toxicity.reject(docs, model).collect()
     assert {r.doc_id for r in kept} == {i for i, s in got.items() if s < 0.5} and kept[0].id == "extra id"
 
