@@ -118,7 +118,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = stage(_lines(df, id_col, text_col, min_words), "lines")
     place = F.struct(*PLACE)
     seen = F.min(place).alias("rank"), F.count(F.lit(1)).alias("n")
-    by_line = lines.groupBy("h1", "h2").agg(*seen).where("n > 1").drop("n")
+    # Aggregates are written before rows are joined back to them: adaptive execution splits a crowded
+    # key only in a join of two plain exchanges.
+    by_line = stage(lines.groupBy("h1", "h2").agg(*seen).where("n > 1").drop("n"), "line-ranks")
     facts = ["line", "ahead", "ahead_line", "back", "back_line"]
     active = stage(lines.join(by_line, ["h1", "h2"]).select(*PLACE, "rank", *facts).distinct(), "repeated-lines")
     ahead = active.where("ahead > 0").select(
@@ -142,7 +144,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumns({"begin": F.col("at"), "at": tail}).join(ranks, [*PLACE, "level"]).withColumnRenamed("rank", "tail")
     found = stage(found.withColumn("at", F.col("begin")).select(*PLACE, "m", "head", "tail", "first", "last"), "runs")
     interval = ["m", "head", "tail"]
-    earliest = found.groupBy(*interval).agg(*seen).where("n > 1").drop("n")
+    earliest = stage(found.groupBy(*interval).agg(*seen).where("n > 1").drop("n"), "intervals")
     later = found.join(earliest, interval).where(F.struct(*PLACE) != F.col("rank"))
     end = (F.col("at") + F.col("m")).alias("end")
     spans = later.groupBy(*DOC).agg(F.collect_set(F.struct("at", end, "first", "last")).alias("spans"))
@@ -152,9 +154,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _double(ranks: DataFrame, n: int) -> DataFrame:
     """Ranks by ``2 n`` lines from those by ``n``; suffixes with a rank of their own are left out."""
     further = ranks.select(*DOC, (F.col("at") - n).alias("at"), F.col("rank").alias("next"))
-    pairs = ranks.join(further, PLACE)
+    pairs = stage(ranks.join(further, PLACE), "rank-pairs")
     first = pairs.groupBy("rank", "next").agg(F.min(F.struct(*PLACE)).alias("new"), F.count(F.lit(1)).alias("n"))
-    return pairs.join(first.where("n > 1"), ["rank", "next"]).select(*PLACE, F.col("new").alias("rank"))
+    first = stage(first.where("n > 1").drop("n"), "pair-ranks")
+    return pairs.join(first, ["rank", "next"]).select(*PLACE, F.col("new").alias("rank"))
 
 
 def _merge(batches):
