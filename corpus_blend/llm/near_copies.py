@@ -1,0 +1,227 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+At that similarity SimHash fingerprints of 64 bits differ in ten bits or so and often in more, too
+many to find all pairs by. So they only name the first candidates, those that differ in a few bits.
+The prefix rule names all others: in any fixed order of all shingles, two sets as similar as that
+share one of their first fifth (of ``n`` shingles the first ``n - ceil(0.8 n) + 1``). Rare shingles
+come first in the order used here, so few sets share one by chance. Every candidate is compared
+exactly.
+
+Large groups of near copies share many shingles. Each set meets its neighbours under every shared
+shingle first; after that only sets that no links join yet are compared pair by pair.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpus_blend.llm import simhash
+from corpus_blend.llm.common import id_and_text, stage, text_slices
+from corpus_blend.llm.components import connected_components
+
+WORDS = 5
+SIMILARITY = 0.8
+#: Rows from which the order of shingles is learned, and how many common ones it knows. Any order
+#: gives the same result; one that puts common shingles last gives fewer candidates.
+SAMPLE = 8_000
+COMMON = 1 << 16
+#: Bits of the map that chooses the texts to compare.
+BITS = 1 << 23
+
+
+def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """A number for the set: equal sets have the same one."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """``id, component`` of every row of ``df``; a component is the smallest id that links can reach.
+
+    Words are split as for SimHash. Texts are linked if their sets of shingles have at least that
+    similarity; texts of fewer words are one shingle, and texts without words, nulls among them, are
+    equal. A row with a null id takes part by its text; a component without any other id is null.
+    """
+    docs = id_and_text(df, id_col, text_col).withColumn("print", F.xxhash64("text"))
+    rows = stage(_described(docs, _common(docs, words), words, similarity), "shingled")
+    # Equal sets are one node, so that copies meet others once.
+    nodes = stage(
+        rows.groupBy("node").agg(
+            F.min("id").alias("first"),
+            F.min("print").alias("print"),
+            F.min("fingerprint").alias("fingerprint"),
+            F.any_value("size").alias("size"),
+            F.any_value("prefix").alias("prefix"),
+        ),
+        "shingle-sets",
+    )
+    shared = _shared(nodes, similarity)
+    near = stage(_neighbours(shared, similarity).unionByName(_similar_prints(nodes)).distinct(), "near-pairs")
+    links = stage(_confirmed(near, nodes, docs, words, similarity), "near-links")
+    rest = stage(_unjoined(shared, connected_components(links), similarity).join(near, ["a", "b"], "left_anti"), "far-pairs")
+    more = _confirmed(rest, nodes, docs, words, similarity)
+    parts = connected_components(links.unionByName(more))
+    named = nodes.select("node", "first").join(parts, "node", "left")
+    named = stage(named.select("node", "first", F.coalesce("component", "node").alias("part")), "near-parts")
+    smallest = stage(named.groupBy("part").agg(F.min("first").alias("component")), "near-components")
+    by_node = named.join(smallest, "part").select("node", "component")
+    return rows.select("id", "node").join(by_node, "node").select("id", "component")
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several sampled rows, sorted, and in how many."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                texts = part.column("text").cast(pa.binary())
+                for t in texts:
+                    found = shingle_set(list(simhash.shingle_hashes(t.as_py(), words)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+    counted = drawn.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles = top.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], top.column("n").to_numpy().astype(np.int64)[order]
+
+
+def _described(docs: DataFrame, common: tuple, words: int, similarity: float) -> DataFrame:
+    """``id, print, node, size, fingerprint, prefix`` of every row; the prefix is in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def one(text: bytes):
+        hashes = list(simhash.shingle_hashes(text, words))
+        found = shingle_set(hashes)
+        known, counts = shared.value
+        rank = np.zeros(len(found), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            rank = np.where(known[at] == found, counts[at], 0)
+        first = found[np.argsort(rank, kind="stable")[: prefix_size(len(found), similarity)]]
+        return node_of(found), len(found), np.uint64(simhash.majority(hashes)).view(np.int64), first.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                found = [one(t.as_py()) for t in part.column("text").cast(pa.binary())]
+                ends = np.cumsum([0, *(len(x[3]) for x in found)])
+                prefixes = np.concatenate([x[3] for x in found]) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        part.column("print"),
+                        pa.array([x[0] for x in found], pa.int64()),
+                        pa.array([x[1] for x in found], pa.int32()),
+                        pa.array([int(x[2]) for x in found], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefixes)),
+                    ],
+                    names=["id", "print", "node", "size", "fingerprint", "prefix"],
+                )
+
+    return docs.mapInArrow(run, "id bigint, print bigint, node bigint, size int, fingerprint bigint, prefix array<bigint>")
+
+
+def _possible(x: str, y: str, similarity: float):
+    """Whether sets of these sizes can be similar if the shingle at these places is the first they share."""
+    n, m, at, to = (F.col(c) for c in (f"{x}.size", f"{y}.size", f"{x}.at", f"{y}.at"))
+    most = F.least(n - at, m - to)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (
+        most * (1 + similarity) >= similarity * (n + m) - 1e-9
+    )
+
+
+def _shared(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``shingle, node, size, at, next`` of shingles in the prefixes of two nodes or more."""
+    # Size and place in one number, as this is the largest exchange.
+    posted = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
+    posted = posted.select("shingle", "node", (F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("at")).alias("info"))
+    group = Window.partitionBy("shingle")
+    # The neighbour is another one under each shingle.
+    order = group.orderBy(F.xxhash64("node", "shingle"), "node")
+    found = posted.withColumn("next", F.lead(F.struct("node", "info")).over(order))
+    found = found.withColumn("before", F.lag("node").over(order)).where("next is not null or before is not null")
+    size, at = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    after = F.struct("next.node", size("next.info").alias("size"), at("next.info").alias("at"))
+    after = F.when(F.col("next").isNotNull(), after).alias("next")
+    return stage(found.select("shingle", "node", size("info").alias("size"), at("info").alias("at"), after), "shared-shingles")
+
+
+def _neighbours(shared: DataFrame, similarity: float) -> DataFrame:
+    own = shared.where("next is not null").select(F.struct("node", "size", "at").alias("own"), "next")
+    own = own.where(_possible("own", "next", similarity))
+    return own.select(F.least("own.node", "next.node").alias("a"), F.greatest("own.node", "next.node").alias("b"))
+
+
+def _similar_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs that connect what SimHash holds for near copies."""
+    some = nodes.where("size > 0")
+    distinct = stage(some.groupBy("fingerprint").agg(F.min("node").alias("first")), "near-prints")
+    found = simhash.close_links(distinct, simhash.DISTANCE, simhash.BLOCK)
+    equal = some.select("fingerprint", "node").join(distinct, "fingerprint").where("node <> first")
+    both = found.unionByName(equal.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _unjoined(shared: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs under one shingle whose nodes are not of one component yet."""
+    placed = shared.drop("next").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    placed = stage(placed.drop("component"), "placed-shingles")
+    mixed = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    open_ = stage(placed.join(stage(mixed.select("shingle"), "mixed-shingles"), "shingle"), "open-shingles")
+    met = open_.alias("x").join(
+        open_.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & _possible("x", "y", similarity),
+    )
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs that are as similar as that, by the sets of their texts."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stage(nodes.select("node", "print").join(asked, "node"), "wanted-texts")
+    # A bitmap leaves few other texts to be moved; its size is fixed, so is what the driver holds.
+    bits = wanted.select(F.pmod("print", F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()
+    bitmap = np.zeros(BITS, bool)
+    bitmap[bits.column("bit").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def choose(batches):
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            at = batch.column("print").to_numpy().astype(np.int64) % BITS
+            yield batch.filter(pa.array(known[at]))
+
+    some = docs.select("print", "text").mapInArrow(choose, "print bigint, text string")
+    texts = some.groupBy("print").agg(F.any_value("text").alias("text"))
+    texts = stage(texts.join(wanted, "print").select("node", "text"), "compared-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
+    )
+
+    def compare(batches):
+        for batch in batches:
+            close = np.zeros(batch.num_rows, bool)
+            columns = (batch.column(c).cast(pa.binary()) for c in ("x", "y"))
+            for i, texts in enumerate(zip(*columns, strict=True)):
+                x, y = (shingle_set(list(simhash.shingle_hashes(t.as_py(), words))) for t in texts)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                close[i] = common / (len(x) + len(y) - common) >= similarity
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")

@@ -58,19 +58,31 @@ def fingerprints(
 
 def simhash(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint of one UTF-8 text."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED):
+    """The hashes of a text's shingles in order, some at a time."""
     parts = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     first = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - words + 1)
     last = ends[words - 1 :] if len(parts) >= words else ends[-1:]
-    digest, total, step = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 1 << 16
+    digest, step = xxhash.xxh64_intdigest, 1 << 16
     for at in range(0, n, step):
         spans = zip(first[at : min(n, at + step)].tolist(), last[at : at + step].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+
+def majority(parts) -> int:
+    """The bits that are set in over half of these arrays' hashes."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         total += _bit_counts(hashes)
+        n += len(hashes)
     return int(sum(1 << i for i in np.flatnonzero(2 * total > n).tolist()))
 
 
@@ -90,7 +102,7 @@ def near_duplicates(prints: DataFrame, distance: int = DISTANCE, block: int = BL
     distinct = stage(
         prints.groupBy("fingerprint").agg(F.min("id").alias("first")).where("first is not null"), "distinct-prints"
     )
-    links = _links(distinct, distance, block)
+    links = close_links(distinct, distance, block)
     parts = connected_components(links)
     roots = distinct.join(parts, distinct["first"] == parts["node"], "left").select(
         "fingerprint", F.coalesce("component", "first").alias("component")
@@ -116,7 +128,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links(distinct: DataFrame, distance: int, block: int) -> DataFrame:
+def close_links(distinct: DataFrame, distance: int, block: int) -> DataFrame:
     """Links that connect what lies within ``distance``: a forest of each searched group."""
     n = distinct.count()
     masks = key_masks(n, distance)

@@ -1,0 +1,85 @@
+"""The pipeline's near copies: five-word similarity of 0.8 or more, against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from test_dedup import components
+
+import corpus_pipeline
+from corpus_blend.llm import near_copies
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, n):
+    """``n`` words replaced, in places of their own."""
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.random()}"
+    return words
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies with few and many edits, around the limit too; a group of many; short texts; nulls."""
+    rng = random.Random(6)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (25, 60, 200, 500):
+        for _ in range(4):
+            base = own(n)
+            texts += [" ".join(edited(rng, base, k)) for k in (0, 1, n // 100, n // 60, n // 45, n // 40, n // 35, n // 25)]
+    common, base = own(40), own(200)
+    texts += [" ".join(edited(rng, base, rng.randrange(6))) for _ in range(60)]
+    texts += [" ".join(common + own(rng.choice([5, 20, 100]))) for _ in range(30)]
+    # 16 of 20 shingles: a similarity of 0.8 exactly.
+    edge = own(24)
+    texts += [" ".join(edge[:20]), " ".join(edge), " ".join(own(4)), "one two", "One  Two", "one three", "", None, " \n"]
+    rng.shuffle(texts)
+    return [(i * 3 % 1009, t) for i, t in enumerate(texts)]
+
+
+def want(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    return sets, links, components(sorted(sets), links)
+
+
+def test_like_all_pairs(spark, rows):
+    sets, links, smallest = want(rows)
+    assert sum(similarity(sets[a], sets[b]) < 0.9 for a, b in links) > 100 and any(similarity(sets[a], sets[b]) == 0.8 for a, b in links)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert {r.id: r.component for r in near_copies.near_copies(frame).collect()} == smallest
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in sorted(sets) if smallest[i] == i]
+
+
+def test_any_order_of_shingles_gives_the_same(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_copies, "COMMON", 0)
+    found = near_copies.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.id: r.component for r in found} == want(rows)[2]
+
+
+def test_rows_without_an_id_join_others_and_stay(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    middle, far = [*base[:96], *"abcd"], [*(f"x{i}" for i in range(9)), *base[9:96], *"abcd"]
+    assert similarity(shingles(" ".join(base)), shingles(" ".join(far))) < 0.8
+    rows = [(5, " ".join(base)), (None, " ".join(middle)), (7, " ".join(far)), (None, "alone"), (5, " ".join(base)), (9, f"{rng.random()}")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = sorted(((r.id, r.component) for r in near_copies.near_copies(frame).collect()), key=str)
+    assert found == [(5, 5), (5, 5), (7, 5), (9, 9), (None, 5), (None, None)]
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [5, 5, 9, None, None]
+    assert near_copies.near_copies(frame.where("false")).count() == 0
