@@ -220,7 +220,35 @@ class Page:
         if not scores:
             return 0, 0.0
         top = max(scores, key=lambda e: (scores[e], -e))
-        return top, scores[top]
+        return self._around(top), scores[top]
+
+    def _around(self, chosen: int) -> int:
+        """The outermost article or main around it, inside no other list of articles; else itself.
+
+        Title, lead and further sections lie beside the richest container of an article. An element
+        that adds mostly links, or that holds other articles too, is no larger article.
+        """
+        inside, at = chosen, self.parent[chosen]
+        while at > 0:
+            if self.tag[at] in MAIN_TAGS:
+                if self._adds_text(at, inside):
+                    inside = at
+                else:
+                    break
+            at = self.parent[at]
+        return inside
+
+    def _adds_text(self, outer: int, inner: int) -> bool:
+        length = links = 0
+        for element, text, linked in self.blocks:
+            at = element
+            while at > 0 and at not in (outer, inner):
+                if self.tag[at] == "article" and inner != at:
+                    return False  # a list of articles, of which this is one
+                at = self.parent[at]
+            if at == outer and outer != inner:
+                length, links = length + len(text), links + linked
+        return 2 * links <= length
 
     def text(self, roots: set[int]) -> str:
         """The blocks inside any of these elements."""
