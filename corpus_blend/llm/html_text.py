@@ -63,7 +63,9 @@ MAIN_WORDS = frozenset("article content post entry story main text body".split()
 WORD = re.compile(r"[a-zA-Z]+")
 NUMBER = re.compile(r"\d+")
 
-KEEP, SKIP, HEADINGS_ONLY = 0, 1, 2
+# A form, or a mere word of a class or id, may also name what wraps the article: SOFT.
+KEEP, SKIP, HEADINGS_ONLY, SOFT = 0, 1, 2, 3
+MODIFIER = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 
 
 class Page:
@@ -75,6 +77,13 @@ class Page:
     """
 
     def __init__(self, source: str):
+        self.lenient = False
+        self._begin(source)
+        if not self.blocks and "form" in self.tag:  # the page may be wrapped whole in a form
+            self.lenient = True
+            self._begin(source)
+
+    def _begin(self, source: str):
         self.parent, self.tag, self.path, self.good, self.state = [-1], [""], [0], [1.0], [KEEP]
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
@@ -141,7 +150,8 @@ class Page:
                 known.setdefault(name.lower(), "".join(values))
         classes = known.get("class", "")
         label = tag if not classes else f"{tag}.{'.'.join(sorted(set(NUMBER.sub('#', classes).split())))}"
-        words = {w.lower() for w in WORD.findall(f"{classes} {known.get('id', '')}")} if known else frozenset()
+        names = [n for n in f"{classes} {known.get('id', '')}".split() if not MODIFIER.match(n)] if known else ()
+        words = {w.lower() for w in WORD.findall(" ".join(names))}
         self.parent.append(above)
         self.tag.append(tag)
         self.path.append(xxhash.xxh64_intdigest(label, self.path[above]))
@@ -154,17 +164,21 @@ class Page:
     def _state(self, tag: str, words, known: dict, above: int) -> int:
         if above == SKIP:
             return SKIP
+        if above == SOFT and tag in MAIN_TAGS and not words & SKIPPED_WORDS:
+            # Inside an article they are its comments or related ones.
+            return SOFT if self._open["article"] or self._open["main"] else KEEP
         if tag in ("html", "body") or tag in MAIN_TAGS:
             return above
         if (
-            tag in SKIPPED_TAGS
-            or words & SKIPPED_WORDS
+            (tag in SKIPPED_TAGS and tag != "form")
             or known.get("role", "").lower() in SKIPPED_ROLES
             or "hidden" in known
             or known.get("aria-hidden", "").lower() == "true"
             or re.search(r"display\s*:\s*none", known.get("style", ""), re.I)
         ):
             return SKIP
+        if above == SOFT or words & SKIPPED_WORDS or (tag == "form" and not self.lenient):
+            return SOFT
         if tag in HEADINGS and above == HEADINGS_ONLY:
             return KEEP
         if tag == "header" or ("header" in words and tag not in HEADINGS):

@@ -23,3 +23,17 @@ def test_sections_of_unequal_size():
 def test_an_article_in_a_list_stays_alone():
     page = f"<body><main><article><p>{LONG}</p></article><article><p>other</p></article></main></body>"
     assert html_text.extract(page) == TEXT
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='layout has-sidebar'>{}</div>", "<div class='no-ads'>{}</div>", "<div class='social-theme'>{}</div>",
+    "<form id='aspnetForm'>{}</form>",
+])
+def test_wrappers_do_not_hide_the_article(wrapper):
+    inner = f"<div class='ad'>Buy!</div><article><h1>title</h1><p>{LONG}</p><div class='related'><article>more</article></div></article>"
+    assert html_text.extract(f"<body>{wrapper.format(inner)}</body>") == f"title\n\n{TEXT}"
+
+
+def test_a_form_around_a_page_without_an_article():
+    page = f"<body><form id='aspnetForm'><div class='menu'>Home</div><div><p>{LONG}</p></div></form></body>"
+    assert html_text.extract(page) == TEXT
