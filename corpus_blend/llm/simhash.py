@@ -99,14 +99,17 @@ def near_duplicates(prints: DataFrame, distance: int = DISTANCE, block: int = BL
     null id takes part by its fingerprint; a component without any other id has component null.
     """
     prints = stage(prints, "fingerprints")
+    # A fingerprint is its own node, so that one held only by rows with a null id joins others too.
     distinct = stage(
-        prints.groupBy("fingerprint").agg(F.min("id").alias("first")).where("first is not null"), "distinct-prints"
+        prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("smallest")), "distinct-prints"
     )
-    links = close_links(distinct, distance, block)
+    links = close_links(distinct.select("fingerprint", F.col("fingerprint").alias("first")), distance, block)
     parts = connected_components(links)
-    roots = distinct.join(parts, distinct["first"] == parts["node"], "left").select(
-        "fingerprint", F.coalesce("component", "first").alias("component")
+    named = distinct.join(parts, distinct["fingerprint"] == parts["node"], "left").select(
+        "fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("part")
     )
+    smallest = named.groupBy("part").agg(F.min("smallest").alias("component"))
+    roots = named.join(smallest, "part").select("fingerprint", "component")
     return prints.join(roots, "fingerprint", "left").select("id", "fingerprint", "component")
 
 
