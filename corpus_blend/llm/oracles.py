@@ -87,4 +87,28 @@ ORACLES = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM b
     """,
+    "op13_lexical_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        d AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM d GROUP BY ALL),
+        c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM n),
+        m AS (SELECT doc_id, 100 - 90 + (90 * n * n_docs) // total AS m FROM n, c),
+        w AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM d, c GROUP BY term, n_docs),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM q JOIN d USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+        r AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+                   doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10
+    """,
 }

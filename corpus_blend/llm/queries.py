@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_blend.llm import embedding_dedup, exact_dedup, html_text, line_dedup, packing, sentence_pieces, simhash, simple8b, toxicity, warc
+from corpus_blend.llm import byte_pairs, embedding_dedup, exact_dedup, html_text, lexical_search, line_dedup, packing
+from corpus_blend.llm import sentence_pieces, simhash, simple8b, toxicity, warc, whitening
 from corpus_blend.llm.common import new_folder, read_table
 
 
@@ -111,6 +112,35 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokenizer_json("byte_bpe_50k.json")
+    found = byte_pairs.decode(byte_pairs.encode(read_table(spark, sf_dir, "documents"), spec), spec)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"), top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -122,4 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
