@@ -35,9 +35,14 @@ FRONTIER = 1 << 20
 
 
 def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    seed: int = SEED,
+    marked: bool = False,
 ) -> DataFrame:
-    """``id, fingerprint`` (64 bits as a bigint) of every row.
+    """``id, fingerprint`` (64 bits as a bigint) of every row; if ``marked`` with a hash of its text.
 
     Words are what lies between blanks after lower-casing A-Z; a shingle is ``words`` of them, and
     its XXH64 counts as often as it occurs. A bit is 1 if it is set in over half of the hashes.
@@ -49,11 +54,13 @@ def fingerprints(
             for part in text_slices(batch):
                 texts = part.column("text").cast(pa.binary())
                 found = np.fromiter((simhash(t.as_py(), words, seed) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(found.view(np.int64))], names=["id", "fingerprint"]
-                )
+                others = [part.column(c) for c in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(found.view(np.int64))], names=names)
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "id bigint, fingerprint bigint")
+    rows, names = id_and_text(df, id_col, text_col), ["id", "fingerprint"]
+    if marked:
+        rows, names = rows.withColumn("mark", F.xxhash64("text")), ["id", "mark", "fingerprint"]
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def simhash(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -92,7 +99,7 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """``id, fingerprint, component`` of every row of ``prints (id, fingerprint)``.
+    """``component`` next to every row of ``prints (id, fingerprint)`` and its other columns.
 
     Fingerprints are linked at ``distance`` or fewer differing bits, and a component is the smallest
     id that links can reach. All links count, however many fingerprints share a key. A row with a
@@ -110,7 +117,7 @@ def near_duplicates(prints: DataFrame, distance: int = DISTANCE, block: int = BL
     )
     smallest = named.groupBy("part").agg(F.min("smallest").alias("component"))
     roots = named.join(smallest, "part").select("fingerprint", "component")
-    return prints.join(roots, "fingerprint", "left").select("id", "fingerprint", "component")
+    return prints.join(roots, "fingerprint", "left").select(*prints.columns, "component")
 
 
 def key_masks(n: int, distance: int = DISTANCE, per_key: int = PER_KEY) -> list[int]:
@@ -280,3 +287,22 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are not looked at.
     """
     return near_duplicates(fingerprints(df, id_col, text_col), **options)
+
+
+def drop_near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE
+) -> DataFrame:
+    """The rows of ``df``, with all its columns, that no row with a smaller id is linked to.
+
+    Of each component the document with the smallest id stays. A row goes by its id and its text, so
+    one that repeats an id with quite another text stays; a repeated row stays or goes as a whole.
+    A row without an id goes if its component has any id, else all of the component stay. No rows give
+    no rows.
+    """
+    prints = fingerprints(df, id_col, text_col, words, marked=True)
+    found = near_duplicates(prints, distance)
+    later = found.where(F.col("component").isNotNull() & ~F.col("id").eqNullSafe(F.col("component")))
+    gone = stage(later.select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct(), "gone")
+    own_id, own_text = F.col(f"`{id_col}`").cast("bigint"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    same = own_id.eqNullSafe(F.col("_gone_id")) & (F.xxhash64(own_text) == F.col("_gone_mark"))
+    return df.join(gone, same, "left_anti")
