@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_blend.llm import line_dedup, near_copies, packing, toxicity
+from corpus_blend.llm import line_dedup, packing, simhash, toxicity
 from corpus_blend.llm.common import read_table, stage
 from corpus_blend.llm.queries import tokenizer_json
 
@@ -27,13 +27,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word similarity of 0.8 or more) the document with the smallest id stays.
-
-    Rows that repeat an id are one document; rows without an id stay, as nothing tells them apart.
-    """
-    found = near_copies.near_copies(docs)
-    dropped = stage(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents whose SimHash fingerprints (four-word shingles) are linked at 4 or fewer
+    differing bits, the document with the smallest id stays; see ``drop_near_duplicates``."""
+    return simhash.drop_near_duplicates(docs, words=4, distance=4).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
