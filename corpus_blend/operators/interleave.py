@@ -5,6 +5,15 @@ from K times uses its row i for the picks i, i + n, i + 2n, ... below K, so rows
 are repeated where they lie and no row has to be looked up by a hot key. By
 weight, pick k of a source is then matched with the draw it was made in: a join
 in which every key occurs once on either side.
+
+Draws come in blocks, one row a block. What a block adds to each source is an array
+of counts in its row, and draws are numbered inside their block, from the number of
+earlier ones: no draw is exchanged to be counted or numbered.
+
+Only positions are looked at to plan. If the rows of every source are numbered without
+gaps, a row's number follows from the table of files, and rows stay where they are
+until they are placed. Otherwise positions alone are numbered, picked and placed, and
+the rows join what was planned for them, in the one exchange that moves them.
 """
 
 from __future__ import annotations
@@ -19,11 +28,12 @@ from pyspark.sql import functions as F
 
 from corpus_blend.functions.keys import FILE, HASH_BITS, POSITION, ROW, SRC, hash_number
 from corpus_blend.operators.combine import concatenate
-from corpus_blend.operators.select import dense_index
+from corpus_blend.operators.places import places_of
 from corpus_blend.staging import stage
 
 ALL, FIRST = "all_exhausted", "first_exhausted"
-BLOCK = 1 << 20  # draws counted together
+BLOCK = 1 << 13  # draws counted together
+BLOCKS_TOGETHER = 1 << 10  # blocks whose counts are added up in one group
 CHUNK = 1 << 16  # copies of a row made at once
 ROWS_PER_TASK = 1_000_000
 DRAWS_PER_TASK = 10_000_000
@@ -63,14 +73,15 @@ def interleave(
     check_stop(stop)
     if weights is not None and len(weights) != len(frames):
         raise ValueError(f"{len(frames)} sources need as many weights, not {len(weights)}")
-    indexed = dense_index(concatenate(frames), POSITION, within=SRC)
-    plan = plan_picks(indexed.sparkSession, source_lengths(indexed), weights, seed, stop, block)
-    return pick_rows(indexed, plan, max_copies)
-
-
-def source_lengths(indexed: DataFrame) -> dict[int, int]:
-    """Rows per source; a source without rows takes no turns."""
-    return {r[SRC]: r["count"] for r in indexed.groupBy(SRC).count().collect()}
+    rows = concatenate(frames)
+    spark = rows.sparkSession
+    places = places_of(rows)
+    plan = plan_picks(spark, places.counts, weights, seed, stop, block)
+    if places.without_gaps and places.packed:
+        return pick_rows(places.indexed(places.pack(rows)).drop("_no", "_at"), plan, max_copies)
+    keys = places.indexed(places.pack(rows.select(*POSITION)))
+    planned = stage(places.unpack(place_rows(keys, plan, max_copies)).drop("_no", "_at"), "planned")
+    return repositioned(rows.join(planned, list(POSITION)), F.col("_place"))
 
 
 class Picks(NamedTuple):
@@ -101,12 +112,18 @@ def plan_picks(
 
 
 def pick_rows(indexed: DataFrame, plan: Picks, max_copies: int | None = None) -> DataFrame:
-    """Rows with ``_src`` and ``_index``, repeated and placed as planned."""
+    """Rows with ``_src`` and ``_index``, repeated, their position that of the mix."""
+    return repositioned(place_rows(indexed, plan, max_copies), F.col("_place"))
+
+
+def place_rows(indexed: DataFrame, plan: Picks, max_copies: int | None = None) -> DataFrame:
+    """Rows with ``_src`` and ``_index``, repeated as planned, with their ``_place`` in the mix."""
     drawn = _picked(indexed, plan.lengths, plan.counts, max_copies)
     if plan.draws is not None:
-        return _repositioned(drawn.join(plan.draws, [SRC, "_pick"]), F.col("_draw"))
+        return drawn.join(plan.draws, [SRC, "_pick"]).drop("_pick")
     rank = _by_source({s: i for i, s in enumerate(sorted(plan.lengths))})
-    return _repositioned(drawn, F.col("_pick") * len(plan.lengths) + rank)
+    place = F.col("_pick") * len(plan.lengths) + rank
+    return drawn.withColumn("_place", place.cast("bigint")).drop("_pick")
 
 
 def _by_source(values: dict[int, int]) -> Column:
@@ -117,13 +134,14 @@ def _by_source(values: dict[int, int]) -> Column:
     return found
 
 
-def _repositioned(df: DataFrame, place: Column) -> DataFrame:
+def repositioned(df: DataFrame, place: Column) -> DataFrame:
+    """Rows whose position is their place in the mix."""
     return (
         df.withColumn("_from", F.col(SRC))
         .withColumn(ROW, place.cast("bigint"))
         .withColumn(FILE, F.lit(""))
         .withColumn(SRC, F.lit(0))
-        .drop("_pick", "_draw")
+        .drop("_place")
     )
 
 
@@ -175,9 +193,9 @@ def _picked(
 # --- drawing by weight ---------------------------------------------------------------
 
 
-def _with_source(draws: DataFrame, sources: list[int], shares: list[float], seed) -> DataFrame:
-    """The source of each draw, from a hash of its number."""
-    unit = hash_number(seed, F.col("_draw").cast("string")) / F.lit(float(1 << HASH_BITS))
+def _source_of(draw: Column, sources: list[int], shares: list[float], seed) -> Column:
+    """The source of a draw, from a hash of its number."""
+    unit = hash_number(seed, draw.cast("string")) / F.lit(float(1 << HASH_BITS))
     bounds, upto = [], 0.0
     for share in shares:
         upto += share
@@ -186,12 +204,7 @@ def _with_source(draws: DataFrame, sources: list[int], shares: list[float], seed
     source = F.lit(sources[live[-1]])
     for i in reversed(live[:-1]):
         source = F.when(unit < bounds[i], sources[i]).otherwise(source)
-    return draws.withColumn(SRC, source)
-
-
-def _draw_range(spark: SparkSession, start: int, end: int) -> DataFrame:
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((end - start) / DRAWS_PER_TASK))
-    return spark.range(start, end, 1, tasks).withColumnRenamed("id", "_draw")
+    return source
 
 
 def _enough(lengths: dict[int, int], shares: dict[int, float], stop: str) -> int:
@@ -204,64 +217,96 @@ def _enough(lengths: dict[int, int], shares: dict[int, float], stop: str) -> int
     return math.ceil(max(each) if stop == ALL else min(each))
 
 
-def _draws(spark, lengths, shares, seed, stop, block):
-    """Picks per source up to the stop, and the draws as (source, pick, draw).
+class _Drawing:
+    """The draws of a mix, block by block."""
 
-    Draws are counted per block and source; a window over those few counts
-    gives the picks made before each block, so no draw waits for the others.
-    """
+    def __init__(self, spark: SparkSession, sources: list[int], shares: list[float], seed, block: int):
+        self.spark, self.sources, self.shares, self.seed, self.block = spark, sources, shares, seed, block
+
+    def blocks(self, start: int, end: int) -> DataFrame:
+        """``_block`` and ``_picked``, its draws in order, each with its source."""
+        cores = self.spark.sparkContext.defaultParallelism
+        tasks = max(1, min(end - start, max(cores, math.ceil((end - start) * self.block / DRAWS_PER_TASK))))
+        return self.with_picked(self.spark.range(start, end, 1, tasks).withColumnRenamed("id", "_block"))
+
+    def with_picked(self, blocks: DataFrame) -> DataFrame:
+        first = F.col("_block") * self.block
+        draws = F.sequence(first, first + (self.block - 1))
+
+        def with_source(draw: Column) -> Column:
+            source = _source_of(draw, self.sources, self.shares, self.seed)
+            return F.struct(draw.alias("draw"), source.alias("source"))
+
+        return blocks.withColumn("_picked", F.transform(draws, with_source))
+
+    def of(self, source: int, upto: int | None = None) -> Column:
+        """The draws of a block that go to the source, in order; up to a draw if there is one."""
+        # the condition looks at nothing but the draw, or Spark would make the whole block anew for each
+        wanted = lambda x: (x["source"] == source) & (F.lit(True) if upto is None else x["draw"] <= upto)
+        return F.transform(F.filter("_picked", wanted), lambda x: x["draw"])
+
+    def counted(self, start: int, end: int) -> DataFrame:
+        """A row per block: how many of its draws go to each source."""
+        sizes = F.array(*(F.size(self.of(s)).cast("bigint") for s in self.sources))
+        return stage(self.blocks(start, end).select("_block", sizes.alias("_counts")), "counts")
+
+    def cumulated(self, counts: DataFrame) -> DataFrame:
+        """With ``_before``: how many draws of earlier blocks went to each source.
+
+        Counts are added up in groups of blocks side by side, then over the groups, of which there is
+        one to BLOCKS_TOGETHER blocks.
+        """
+        each = [F.col("_counts")[i] for i in range(len(self.sources))]
+        grouped = counts.withColumn("_group", F.floor(F.col("_block") / BLOCKS_TOGETHER))
+        within = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = grouped.groupBy("_group").agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(each)))
+        over = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+        none = F.lit(0).cast("bigint")
+        groups = sums.select("_group", *(F.coalesce(F.sum(f"_s{i}").over(over), none).alias(f"_g{i}") for i in range(len(each))))
+        before = [F.coalesce(F.sum(c).over(within), none) + F.col(f"_g{i}") for i, c in enumerate(each)]
+        added = grouped.join(F.broadcast(groups), "_group").select("_block", "_counts", F.array(*before).alias("_before"))
+        return stage(added, "draws")
+
+
+def _draws(spark, lengths, shares, seed, stop, block):
+    """Picks per source up to the stop, and the draws as (source, pick, place)."""
     sources = sorted(lengths)
-    share_of = dict(zip(sources, shares))
-    end = _enough(lengths, share_of, stop)
+    drawing = _Drawing(spark, sources, shares, seed, block)
+    wanted = _enough(lengths, dict(zip(sources, shares)), stop)
+    counts, done = None, 0
     while True:
-        numbered = _with_source(_draw_range(spark, 0, end), sources, shares, seed)
-        blocks = F.floor(F.col("_draw") / block).cast("bigint").alias("_block")
-        counted = numbered.groupBy(blocks, SRC).agg(F.count("*").alias("_count"))
-        earlier = Window.partitionBy(SRC).orderBy("_block").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        before = F.coalesce(F.sum("_count").over(earlier), F.lit(0).cast("bigint"))
-        counts = stage(counted.withColumn("_before", before), "draws")
-        last = _by_source(lengths) - 1
-        reached = counts.where((last >= F.col("_before")) & (last < F.col("_before") + F.col("_count")))
-        found = {r[SRC]: r for r in reached.collect()}  # one block per source
-        if found and (stop == FIRST or len(found) == len(sources)):
+        end = max(done + 1, math.ceil(wanted / block))
+        more = drawing.counted(done, end)  # earlier blocks are counted already
+        counts, done = more if counts is None else counts.unionByName(more), end
+        table = drawing.cumulated(counts)
+        # the last first-time pick of each source: one block per source, and the draw inside it
+        near = []
+        for i, s in enumerate(sources):
+            before, inside = F.col("_before")[i], F.col("_counts")[i]
+            here = (before < lengths[s]) & (before + inside >= lengths[s])
+            nth = (lengths[s] - before).cast("int")
+            found = drawing.with_picked(table.where(here))
+            near.append(found.select(F.lit(s).alias(SRC), F.element_at(drawing.of(s), nth).alias("_draw")))
+        last_picks = {r[SRC]: r["_draw"] for r in reduce(DataFrame.unionByName, near).collect()}
+        if last_picks and (stop == FIRST or len(last_picks) == len(sources)):
             break
-        end *= 2
-
-    # the last first-time pick of each source, looked up in its one block
-    near = [
-        _block_draws(spark, b, block, end, sources, shares, seed)
-        for b in sorted({r["_block"] for r in found.values()})
-    ]
-    nth = F.row_number().over(Window.partitionBy("_block", SRC).orderBy("_draw"))
-    wanted = {s: lengths[s] - r["_before"] for s, r in found.items()}
-    at = _by_source({s: r["_block"] for s, r in found.items()})
-    last_picks = (
-        reduce(DataFrame.unionByName, near)
-        .withColumn("_nth", nth)
-        .where((F.col("_block") == at) & (F.col("_nth") == _by_source(wanted)))
-    )
-    stop_at = last_picks.agg((F.max if stop == ALL else F.min)("_draw")).first()[0]
-
-    final = stop_at // block
-    inside = _block_draws(spark, final, block, stop_at + 1, sources, shares, seed)
-    picks = {s: 0 for s in sources}
-    earlier_picks = counts.where(F.col("_block") < final).groupBy(SRC).agg(F.sum("_count").alias("n"))
-    for r in earlier_picks.collect() + inside.groupBy(SRC).agg(F.count("*").alias("n")).collect():
-        picks[r[SRC]] += r["n"]
-
-    drawn = _with_source(_draw_range(spark, 0, stop_at + 1), sources, shares, seed)
-    drawn = (
-        drawn.withColumn("_block", F.floor(F.col("_draw") / block).cast("bigint"))
-        .withColumn("_nth", nth)
-        .join(counts.select("_block", SRC, "_before"), ["_block", SRC])
-        .select(SRC, (F.col("_before") + F.col("_nth") - 1).alias("_pick"), "_draw")
+        wanted = 2 * done * block
+    stop_at = (max if stop == ALL else min)(last_picks.values())
+
+    final = drawing.with_picked(table.where(F.col("_block") == stop_at // block))
+    taken = [F.col("_before")[i] + F.size(drawing.of(s, stop_at)) for i, s in enumerate(sources)]
+    picks = dict(zip(sources, final.select(F.array(*taken)).first()[0], strict=True))
+
+    used = table.where(F.col("_block") <= stop_at // block)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(stop_at / DRAWS_PER_TASK))
+    if stop_at > DRAWS_PER_TASK:  # a row is a whole block, so few rows are much work
+        used = used.repartition(min(tasks, MOST_TASKS), "_block")
+    each = F.array(
+        *(
+            F.struct(F.lit(s).alias(SRC), F.col("_before")[i].alias("_from"), drawing.of(s, stop_at).alias("_own"))
+            for i, s in enumerate(sources)
+        )
     )
-    return picks, drawn
-
-
-def _block_draws(spark, number, block, end, sources, shares, seed) -> DataFrame:
-    whole = _draw_range(spark, number * block, min((number + 1) * block, end))
-    numbered = _with_source(whole, sources, shares, seed)
-    return numbered.withColumn("_block", F.lit(number).cast("bigint"))
+    parts = drawing.with_picked(used).select(F.explode(each).alias("p")).select("p.*")
+    drawn = parts.select(SRC, "_from", F.posexplode("_own").alias("_nth", "_place"))
+    return picks, drawn.select(SRC, (F.col("_from") + F.col("_nth")).alias("_pick"), "_place")

@@ -1,9 +1,10 @@
 """The merge job: read, standardize, combine, clean, order, split, report, write.
 
 A first pass over the sources writes what every later step needs to know of a
-row but its text (length, blank flags, content hash, roles) to the shared
-folder. Counting, deduplicating, splitting and reporting work on that narrow
-table alone. A second pass takes the text straight to its place in the final
+row but its text (place, length, blank flags, content hash, roles) to the shared
+folder, places as numbers of one width (see ``places``), so that the first of equal
+rows is a plain minimum. Counting, deduplicating, splitting and reporting work on that
+narrow table alone. A second pass takes the text straight to its place in the final
 order and writes it: read twice, exchanged once, written once.
 """
 
@@ -29,7 +30,8 @@ from corpus_blend.operators.combine import concatenate
 from corpus_blend.operators.dedupe import EXAMPLES, first_dropped
 from corpus_blend.operators.detect import detect_format
 from corpus_blend.operators.filters import inject_system_prompt, length_bounds
-from corpus_blend.operators.interleave import pick_rows, plan_picks
+from corpus_blend.operators.interleave import pick_rows, place_rows, plan_picks, repositioned
+from corpus_blend.operators.places import places_of
 from corpus_blend.operators.report import (
     MERGED_EMPTY_RATE,
     SOURCE_EMPTY_RATE,
@@ -39,11 +41,7 @@ from corpus_blend.operators.report import (
     quality_of,
     source_counts,
 )
-from corpus_blend.operators.select import (
-    dense_index,
-    hash_slot,
-    split_condition,
-)
+from corpus_blend.operators.select import hash_slot, split_condition
 from corpus_blend.operators.standardize import PROVENANCE, to_target
 from corpus_blend.plans.spec import MergeSpec, OutputSpec
 from corpus_blend.sinks.files import check_save_path, publish, save, saved_files, write_card, write_rows
@@ -131,11 +129,6 @@ def _fit_shuffles(spark: SparkSession, rows: int) -> None:
         spark.conf.set(name, needed)
 
 
-def _with_origin(rows: DataFrame) -> DataFrame:
-    """With the position that rows were read at, which is their own unless they were interleaved."""
-    return rows if "_origin" in rows.columns else rows.withColumn("_origin", F.struct(*POSITION))
-
-
 class Blend:
     """A merge worked out up to its final rows: narrow tables first, text on demand."""
 
@@ -148,10 +141,9 @@ class Blend:
             self.rows = stage(self.rows, "standardized")
         self.kept = length_bounds(F.col("_length"), out.min_length, out.max_length)
         roles = ["_roles"] if out.target_format == CHATML else []
-        facts = ["_hash", "_length", "_blank", "_blank_source", *roles, *PROVENANCE]
-        self.facts = self.rows.select(*POSITION, *facts)
-        if not out.stage_text:
-            self.facts = stage(self.facts, "facts")
+        facts = ["_hash", "_length", "_blank", "_blank_source", *roles]
+        self.places = places_of(self.rows)
+        self.facts = stage(self.places.pack(self.rows.select(*POSITION, *facts)), "facts")
         narrow = self.facts.drop("_blank_source")
         self.sources = self._source_report()
         lengths = {i: s["rows"] for i, s in enumerate(self.sources) if s["rows"]}
@@ -159,15 +151,16 @@ class Blend:
         _fit_shuffles(spark, self.rows_before)
         self.picks = None
         if out.mode == "interleave":
-            narrow = narrow.withColumn("_origin", F.struct(*POSITION))  # which picking replaces
-            self.indexed = dense_index(narrow, POSITION, within=SRC)
+            self.indexed = self.places.indexed(narrow)
             self.picks = plan_picks(
                 spark, lengths, out.probabilities, out.seed, out.stopping_strategy
             )
             self.rows_before = sum(self.picks.counts.values())
             # deduplicating keeps no second copy of a row, so none needs to be made
             self.copies = 1 if out.dedupe else None
-            narrow = pick_rows(self.indexed, self.picks, self.copies)
+            narrow = place_rows(self.indexed, self.picks, self.copies)
+        else:
+            narrow = narrow.withColumn("_place", F.col("_at"))
         self.narrow = narrow.where(self.kept)
         self.rows_after = self._rows_after()
         self.survivors = self._survivors()
@@ -187,8 +180,19 @@ class Blend:
     def _identified(self, rows: DataFrame) -> DataFrame:
         """With the text that random choices hash: the content's hash, or the position where
         equal rows stay."""
-        content = F.lower(F.hex("_hash"))
-        return rows.withColumn("_id", content if self.out.dedupe else key_text(POSITION))
+        if self.out.dedupe:
+            return rows.withColumn("_id", F.lower(F.hex("_hash")))
+        if "_place" in rows.columns and self.picks is not None:
+            return rows.withColumn("_id", F.concat_ws(":", F.lit("0"), F.lit(""), F.col("_place").cast("string")))
+        rows = self.places.unpack(rows) if FILE not in rows.columns else rows
+        return rows.withColumn("_id", key_text(POSITION))
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        """With the label of each row's source, which narrow rows don't carry."""
+        label = F.lit(None).cast("string")
+        for i, source in enumerate(self.spec.sources):
+            label = F.when(F.col(SRC) == i, F.lit(source.label)).otherwise(label)
+        return rows.withColumn("source_dataset", label)
 
     def _source_report(self) -> list[dict]:
         counted = quality_of(
@@ -229,15 +233,19 @@ class Blend:
         return within.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
 
     def _survivors(self) -> DataFrame:
-        """What is known of each final row but its text; ``_copies`` counts equal rows."""
+        """What is known of each final row but its text; ``_copies`` counts equal rows.
+
+        All that is kept of the first of equal rows is of fixed width, so it is found by hashing.
+        """
         if not self.out.dedupe:
-            return _with_origin(stage(self.narrow.withColumn("_copies", F.lit(1).cast("bigint")), "survivors"))
-        position = F.struct(*POSITION)
-        facts = F.struct(*[c for c in self.narrow.columns if c != "_hash"])
+            return stage(self.narrow.withColumn("_copies", F.lit(1).cast("bigint")), "survivors")
+        kept = (SRC, "_no", "_at", "_length", "_blank")
         first = self.narrow.groupBy("_hash").agg(
-            F.min_by(facts, position).alias("first"), F.count("*").alias("_copies")
+            F.count("*").alias("_copies"),
+            F.min("_place").alias("_place"),
+            *(F.min_by(c, "_place").alias(c) for c in kept),
         )
-        return _with_origin(stage(first.select("_hash", "_copies", "first.*"), "survivors"))
+        return stage(first, "survivors")
 
     def duplicate_examples(self) -> list[dict]:
         """The first dropped rows: where they came from and how they begin."""
@@ -245,11 +253,11 @@ class Blend:
             return []
         narrow = self.narrow
         if self.picks is not None:
-            narrow = pick_rows(self.indexed, self.picks, EXAMPLES + 1).where(self.kept)
-        keys = _with_origin(narrow).select(*POSITION, "_hash", "_origin")
+            narrow = place_rows(self.indexed, self.picks, EXAMPLES + 1).where(self.kept)
+        keys = narrow.select(SRC, "_no", "_at", "_place", "_hash")
         # EXAMPLES rows; as literals, their positions tell the scans which files to skip
-        dropped = first_dropped(keys, "_hash").orderBy(*POSITION).collect()
-        origins = [tuple(r["_origin"]) for r in dropped]
+        dropped = self.places.unpack(first_dropped(keys, "_hash", "_place")).orderBy("_place").collect()
+        origins = [tuple(r[c] for c in POSITION) for r in dropped]
         here = [
             reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(POSITION, origin)])
             for origin in set(origins)
@@ -276,9 +284,8 @@ class Blend:
         if self.most_copies <= limit and self.most_copied <= heavy:
             return rows
         # more than total / HOT_SETS copies or characters each: at most twice HOT_SETS such rows
-        hot = self.survivors.where((F.col("_copies") > limit) | (F.expr(COPIED_CHARS) > heavy)).select(
-            "_hash", F.col("_origin").alias("_first")
-        )
+        hot = self.survivors.where((F.col("_copies") > limit) | (F.expr(COPIED_CHARS) > heavy))
+        hot = self.places.unpack(hot).select("_hash", F.struct(*POSITION).alias("_first"))
         marked = rows.join(F.broadcast(hot), "_hash", "left")
         return marked.where(F.col("_first").isNull() | (F.col("_first") == F.struct(*POSITION)))
 
@@ -320,7 +327,7 @@ class Blend:
             return ranked.where("_rank = 1")
         # which row comes first depends on the draws: the narrow table tells, as rows of its own
         rows = rows.withColumn("_origin", F.struct(*POSITION))
-        marks = self.survivors.select("_hash", F.col("_origin").alias("_keep"))
+        marks = stage(self.places.unpack(self.survivors).select("_hash", F.struct(*POSITION).alias("_keep")), "marks")
         both = self._in_slots(rows.unionByName(marks, allowMissingColumns=True), partitions)
         marked = both.withColumn("_keep", F.first("_keep").over(same.orderBy("_origin")))
         return marked.where(F.col("_origin") == F.col("_keep"))
@@ -336,7 +343,7 @@ class Blend:
         for s, n in left_early.items():
             number = F.when(F.col(SRC) == s, n - 1).otherwise(number)
         # one row per source
-        last = self.indexed.where(F.col("_index") == number).select(*POSITION).collect()
+        last = self.places.unpack(self.indexed.where(F.col("_index") == number)).select(*POSITION).collect()
         ends = {r[SRC]: not_after([FILE, ROW], [r[FILE], r[ROW]]) for r in last}
         for s in left_early:
             reached = F.when(F.col(SRC) == s, ends.get(s, F.lit(False))).otherwise(reached)
@@ -346,9 +353,12 @@ class Blend:
         """Rows with their text at their place in the merged order."""
         if self.picks is None:
             return self.rows.where(self.kept)
-        numbers = self.indexed.select(*POSITION, "_index")
-        rows = self.rows.where(self._drawn_from()).join(numbers, list(POSITION))
-        return pick_rows(rows, self.picks, self.copies).where(self.kept)
+        rows = self.rows.where(self._drawn_from() & self.kept)
+        if self.places.packed and self.places.without_gaps:
+            return pick_rows(self.places.indexed(self.places.pack(rows)), self.picks, self.copies)
+        planned = self.places.unpack(self.narrow.select(SRC, "_no", "_at", "_index", "_place"))
+        placed = rows.join(planned.select(*POSITION, "_index", "_place"), list(POSITION))
+        return repositioned(placed, F.col("_place"))
 
     def _split(self) -> Column:
         if self.in_test is None:
@@ -356,8 +366,8 @@ class Blend:
         return F.when(self.in_test, "test").otherwise("train")
 
     def splits(self) -> dict[str, int]:
-        labelled = self._identified(self.survivors).withColumn("split", self._split())
-        counts = {r["split"]: r["count"] for r in labelled.groupBy("split").count().collect()}
+        chosen = self._identified(self.survivors).withColumn("split", self._split())
+        counts = {r["split"]: r["count"] for r in chosen.groupBy("split").count().collect()}
         names = ["train"] if self.in_test is None else ["train", "test"]
         return {name: counts.get(name, 0) for name in names}
 
@@ -371,20 +381,22 @@ class Blend:
 
     def kept_rows(self) -> list[int]:
         """Final rows of each source of the configuration, two of which may have one label."""
-        by = self.survivors.groupBy(F.col("_origin").getField(SRC).alias("source")).count().collect()
-        found = {r["source"]: r["count"] for r in by}
+        found = {r[SRC]: r["count"] for r in self.survivors.groupBy(SRC).count().collect()}
         return [found.get(i, 0) for i in range(len(self.sources))]
 
     def statistics(self) -> dict[str, DataFrame]:
         """Composition tables of the final rows, from the narrow table."""
         tables = {
             "quality": quality_of(self.survivors, F.col("_blank"), None, MERGED_EMPTY_RATE),
-            "source_counts": source_counts(self.survivors),
+            "source_counts": source_counts(self._labelled(self.survivors)),
             "lengths": histogram_of(self.survivors, F.col("_length")),
         }
         if self.out.target_format == CHATML:
+            spoken = self.survivors
+            if self.out.dedupe:  # a row that stays is the only one of its number
+                spoken = self.facts.select("_at", "_roles").join(spoken.select("_at"), "_at", "left_semi")
             tables["role_counts"] = (
-                self.survivors.select(F.explode("_roles").alias("role"))
+                spoken.select(F.explode("_roles").alias("role"))
                 .groupBy("role")
                 .agg(F.count("*").alias("n_messages"))
             )
