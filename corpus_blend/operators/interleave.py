@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from corpus_blend.functions.keys import FILE, HASH_BITS, POSITION, ROW, SRC, hash_number
 from corpus_blend.operators.combine import concatenate
 from corpus_blend.operators.places import places_of
+from corpus_blend.operators.select import dense_index
 from corpus_blend.staging import stage
 
 ALL, FIRST = "all_exhausted", "first_exhausted"
@@ -79,8 +80,7 @@ def interleave(
     plan = plan_picks(spark, places.counts, weights, seed, stop, block)
     if places.without_gaps and places.packed:
         return pick_rows(places.indexed(places.pack(rows)).drop("_no", "_at"), plan, max_copies)
-    keys = places.indexed(places.pack(rows.select(*POSITION)))
-    planned = stage(places.unpack(place_rows(keys, plan, max_copies)).drop("_no", "_at"), "planned")
+    planned = place_rows(dense_index(rows.select(*POSITION), POSITION, within=SRC), plan, max_copies)
     return repositioned(rows.join(planned, list(POSITION)), F.col("_place"))
 
 
@@ -248,20 +248,25 @@ class _Drawing:
     def counted(self, start: int, end: int) -> DataFrame:
         """A row per block: how many of its draws go to each source."""
         sizes = F.array(*(F.size(self.of(s)).cast("bigint") for s in self.sources))
-        return stage(self.blocks(start, end).select("_block", sizes.alias("_counts")), "counts")
+        return self.blocks(start, end).select("_block", sizes.alias("_counts"))
 
-    def cumulated(self, counts: DataFrame) -> DataFrame:
+    def cumulated(self, counts: DataFrame, n_blocks: int) -> DataFrame:
         """With ``_before``: how many draws of earlier blocks went to each source.
 
-        Counts are added up in groups of blocks side by side, then over the groups, of which there is
-        one to BLOCKS_TOGETHER blocks.
+        Many counts are added up in groups of blocks side by side, then over the groups, of which
+        there is one to BLOCKS_TOGETHER blocks.
         """
         each = [F.col("_counts")[i] for i in range(len(self.sources))]
+        none = F.lit(0).cast("bigint")
+        earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        if n_blocks <= BLOCKS_TOGETHER:
+            before = F.array(*(F.coalesce(F.sum(c).over(earlier), none) for c in each))
+            return stage(counts.select("_block", "_counts", before.alias("_before")), "draws")
+        counts = stage(counts, "counts")
         grouped = counts.withColumn("_group", F.floor(F.col("_block") / BLOCKS_TOGETHER))
         within = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         sums = grouped.groupBy("_group").agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(each)))
         over = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-        none = F.lit(0).cast("bigint")
         groups = sums.select("_group", *(F.coalesce(F.sum(f"_s{i}").over(over), none).alias(f"_g{i}") for i in range(len(each))))
         before = [F.coalesce(F.sum(c).over(within), none) + F.col(f"_g{i}") for i, c in enumerate(each)]
         added = grouped.join(F.broadcast(groups), "_group").select("_block", "_counts", F.array(*before).alias("_before"))
@@ -273,29 +278,34 @@ def _draws(spark, lengths, shares, seed, stop, block):
     sources = sorted(lengths)
     drawing = _Drawing(spark, sources, shares, seed, block)
     wanted = _enough(lengths, dict(zip(sources, shares)), stop)
-    counts, done = None, 0
+    table, done = None, 0
     while True:
         end = max(done + 1, math.ceil(wanted / block))
-        more = drawing.counted(done, end)  # earlier blocks are counted already
-        counts, done = more if counts is None else counts.unionByName(more), end
-        table = drawing.cumulated(counts)
-        # the last first-time pick of each source: one block per source, and the draw inside it
-        near = []
-        for i, s in enumerate(sources):
-            before, inside = F.col("_before")[i], F.col("_counts")[i]
-            here = (before < lengths[s]) & (before + inside >= lengths[s])
-            nth = (lengths[s] - before).cast("int")
-            found = drawing.with_picked(table.where(here))
-            near.append(found.select(F.lit(s).alias(SRC), F.element_at(drawing.of(s), nth).alias("_draw")))
-        last_picks = {r[SRC]: r["_draw"] for r in reduce(DataFrame.unionByName, near).collect()}
+        counts = drawing.counted(done, end)  # earlier blocks are counted already
+        if table is not None:
+            counts = table.select("_block", "_counts").unionByName(counts)
+        table, done = drawing.cumulated(counts, end), end
+        # the last first-time pick of each source: in one block per source at most
+        hits = [
+            (F.col("_before")[i] < lengths[s]) & (F.col("_before")[i] + F.col("_counts")[i] >= lengths[s])
+            for i, s in enumerate(sources)
+        ]
+        near = drawing.with_picked(table.where(reduce(lambda x, y: x | y, hits)))
+        near = near.select("_block", "_before", "_counts", F.transform("_picked", lambda x: x["source"]).alias("_sources")).collect()
+        last_picks = {}
+        for r in near:
+            for i, s in enumerate(sources):
+                nth = lengths[s] - r["_before"][i]
+                if 0 < nth <= r["_counts"][i]:
+                    own = [k for k, x in enumerate(r["_sources"]) if x == s]
+                    last_picks[s] = r["_block"] * block + own[nth - 1]
         if last_picks and (stop == FIRST or len(last_picks) == len(sources)):
             break
         wanted = 2 * done * block
     stop_at = (max if stop == ALL else min)(last_picks.values())
-
-    final = drawing.with_picked(table.where(F.col("_block") == stop_at // block))
-    taken = [F.col("_before")[i] + F.size(drawing.of(s, stop_at)) for i, s in enumerate(sources)]
-    picks = dict(zip(sources, final.select(F.array(*taken)).first()[0], strict=True))
+    final = next(r for r in near if r["_block"] == stop_at // block)
+    reached = final["_sources"][: stop_at % block + 1]
+    picks = {s: final["_before"][i] + reached.count(s) for i, s in enumerate(sources)}
 
     used = table.where(F.col("_block") <= stop_at // block)
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(stop_at / DRAWS_PER_TASK))
