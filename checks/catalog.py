@@ -482,6 +482,47 @@ def merge_many_roles(spark, sf_dir):
     return Blend(spark, spec).statistics()["role_counts"]
 
 
+def merge_role_top(spark, sf_dir):
+    """The roles that the summary of the same merge lists: the most frequent ones."""
+    merge_many_roles(spark, sf_dir)
+    spec = MergeSpec.from_dict(
+        {"datasets": [{"repo_id": "cb_roles", "order_by": "doc_id"}], "output": {"dedupe": False, "save_path": new_folder(spark, "roles")}}
+    )
+    listed = cb.run_merge(spark, spec)["role_counts"]
+    return spark.createDataFrame(list(listed.items()), "role string, n_messages bigint")
+
+
+def refusals(spark, sf_dir):
+    """Sources that are refused, why, and how many rows each would have brought."""
+    docs = d.table(spark, sf_dir, "documents")
+    numbers = docs.select(F.col("lang").alias("foo"), F.col("n_chars").alias("bar"))
+    cases = [
+        ("texts", d.text(spark, sf_dir), lambda rows: cb.to_target(rows, "text", "preference", "texts")),
+        ("chats", d.chatml(spark, sf_dir), lambda rows: cb.to_target(rows, "chatml", "preference", "chats")),
+        ("numbers", numbers, lambda rows: cb.to_target(rows, cb.detect_format(rows), "text", "numbers")),
+        ("sheet", docs, lambda rows: load_file(spark, "documents.xlsx")),
+    ]
+    found = []
+    for name, rows, load in cases:
+        try:
+            load(rows)
+            message = None
+        except ValueError as error:
+            message = str(error)
+        counted = rows.agg(F.count("*").alias("n_rows"))
+        found.append(counted.select(F.lit(name).alias("source"), F.lit(message).cast("string").alias("message"), "n_rows"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def card_counts(spark, sf_dir):
+    """The row counts that stand in the card of a saved merge."""
+    spec = _spec(spark, sf_dir, save_path=new_folder(spark, "card"), save_formats=["parquet"])
+    lines = spark.read.text(cb.run_merge(spark, spec)["dataset_card"])
+    cells = r"^\| ([a-z_: ]+) \| ([0-9,]+) \|$"
+    number = F.replace(F.regexp_extract("value", cells, 2), F.lit(","), F.lit("")).cast("bigint")
+    return lines.where(F.col("value").rlike(cells)).select(F.regexp_extract("value", cells, 1).alias("name"), number.alias("n"))
+
+
 def merge_from_file(spark, sf_dir):
     """The same merge as merge_counters, its configuration written to a file and read from there."""
     names = _views(spark, sf_dir)
@@ -734,6 +775,9 @@ def queries() -> dict:
         "merge_jsonl_capped_sampled": merge_jsonl_capped_sampled,
         "merge_view_without_order": merge_view_without_order,
         "merge_many_roles": merge_many_roles,
+        "merge_role_top": merge_role_top,
+        "refusals": refusals,
+        "card_counts": card_counts,
         "merge_from_file": merge_from_file,
         "read_csv": _read_back("csv"),
         "read_csv_two_headers": read_csv_two_headers,

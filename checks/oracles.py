@@ -516,6 +516,23 @@ FROM ({_rate("merged", ANSWER_BLANK, 0.05, LABELS)})""",
         "merge_from_file": _with(*MERGE_KEPT, select=counters),
         "merge_many_roles": """SELECT unnest(['a', 'b']) || doc_id AS role, count(*) AS n_messages
 FROM documents GROUP BY 1""",
+        "merge_role_top": """SELECT unnest(['a', 'b']) || doc_id AS role, count(*) AS n_messages
+FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000""",
+        "refusals": """SELECT 'texts' AS source, 'texts: the target is ''preference'' but this source was read as ''text''
+ and has no chosen and rejected columns' AS message, count(*) AS n_rows FROM documents
+UNION ALL SELECT 'chats', 'chats: the target is ''preference'' but this source was read as ''chatml''
+ and has no chosen and rejected columns', count(DISTINCT conv_id) FROM conversations
+UNION ALL SELECT 'numbers', 'the layout of ''numbers'' is not recognised (columns: foo, bar); give its format and columns',
+ count(*) FROM documents
+UNION ALL SELECT 'sheet', 'unsupported file type .xlsx (use csv, json, jsonl, parquet)', count(*) FROM documents""".replace(
+            "\n and has", " and has"
+        ),
+        "card_counts": _with(
+            *MERGE_KEPT,
+            select=f"""SELECT unnest(['rows_before_filters', 'rows_after_filters', 'duplicates_removed', 'final_rows',
+  'split: train', 'split: test', 'empty_rows']) AS name, unnest([rows_before_filters, rows_after_filters,
+  duplicates_removed, final_rows, train_rows, test_rows, empty_rows]) AS n FROM ({counters})""",
+        ),
         "merge_view_without_order": """SELECT sha256(text) AS content FROM (
   SELECT text FROM documents UNION SELECT text FROM benchmark)""",
         "merge_jsonl_capped_sampled": f"""SELECT greatest(1, floor(least({3 * HEAD}, n) * {SHARE}::DOUBLE))::BIGINT AS n_rows,

@@ -55,7 +55,7 @@ ROWS_PER_SHUFFLE_TASK = 5_000_000
 COPIED_CHARS = "_copies * _length"
 HOT_COPIES = 1_000
 HOT_SETS = 50_000  # sets above total / HOT_SETS rows or characters: not more than twice as many
-ROLES_SHOWN = 1_000  # more are in the role table's files only
+ROLES_SHOWN = 1_000  # the most frequent ones; the role table's files hold all
 
 
 def inspect_sources(spark: SparkSession, spec: MergeSpec, count: bool = True, profile: bool = False) -> DataFrame:
@@ -452,11 +452,12 @@ def _merge(spark: SparkSession, spec: MergeSpec) -> dict:
 
 
 def _add_roles(spark: SparkSession, summary: dict, roles: DataFrame, save_path: str | None) -> None:
-    """All roles go to files; the summary lists them too unless there are very many."""
+    """The summary lists the most frequent roles, by name where counts are equal, and says how many
+    there are; all of them go to files."""
     roles = stage(roles, "roles")
     summary["n_roles"] = roles.count()
-    if summary["n_roles"] <= ROLES_SHOWN:
-        summary["role_counts"] = {r[0]: r[1] for r in roles.collect()}
+    listed = roles.orderBy(F.col("n_messages").desc(), "role").limit(ROLES_SHOWN).collect()
+    summary["role_counts"] = {r["role"]: r["n_messages"] for r in listed}
     if save_path:
         summary["role_counts_path"] = write_rows(roles, f"{save_path.rstrip('/')}/role_counts")
 

@@ -34,7 +34,8 @@ def ingest(
     kind = reader_for(spec.local_path, spec.reader)
     stream = spark.readStream.schema(spec.schema).option("maxFilesPerTrigger", files_per_batch)
     if kind == "csv":
-        stream = stream.options(header=True, escape='"', multiLine=spec.multi_line)
+        # cells go by name as in load_file, and a row that breaks off is an error
+        stream = stream.options(header=True, escape='"', multiLine=spec.multi_line, mode="FAILFAST", enforceSchema=False)
     elif kind in ("json", "jsonl"):
         stream = stream.option("multiLine", kind == "json").option("mode", "FAILFAST")
     rows = stream.format("json" if kind == "jsonl" else kind).load(spec.local_path)
