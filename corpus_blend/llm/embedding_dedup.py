@@ -16,6 +16,7 @@ gap of the threshold (``margin=None``) no link is lost; a smaller margin searche
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +107,8 @@ def embedding_dedup(
     Vectors are linked if their cosine (of the stored numbers, in double precision) is at least the
     threshold. ``n_links`` counts the other rows linked directly, equal vectors among them, and
     ``component`` is the smallest id that links can reach. Vectors that are null, empty, zero, or
-    hold a null or a number that is not finite, link with nothing, and so do vectors whose length
-    is not the one most vectors have. A null id links like any other but is no component. Rows that
+    hold a null or a number that is not finite, link with nothing. Vectors of different lengths have
+    no cosine, so each length that occurs is trained and searched by itself. A null id links like any other but is no component. Rows that
     repeat an id have a line each, with equal numbers. No rows give no rows.
     """
     settings = settings or Settings()
@@ -121,9 +122,9 @@ def embedding_dedup(
         F.lit(False),
     )
     rows = stage(raw.withColumn("usable", usable).withColumn("key", F.sha2(F.to_json("v"), 256)), "vectors")
-    sizes = rows.where("usable").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").take(1)
-    dim = sizes[0]["dim"] if sizes else 1
-    good = F.col("usable") & (F.size("v") == dim)
+    good = F.col("usable")
+    # one number per length that occurs
+    sizes = [r["dim"] for r in rows.where(good).select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]
     # Equal vectors are searched once: a group of copies is one vector with a weight.
     distinct = stage(
         rows.where(good)
@@ -132,8 +133,8 @@ def embedding_dedup(
         .withColumn("node", F.monotonically_increasing_id()),  # fixed once it is written
         "distinct-vectors",
     )
-    found = _search(distinct, settings)
-    links = stage(found, "vector-links")
+    found = [_search(distinct.where(F.size("v") == dim), settings) for dim in sizes or [1]]
+    links = stage(reduce(DataFrame.unionByName, found), "vector-links")
     # A line of the search is a count (b is null) or a link of the forest.
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     parts = connected_components(links.where("b is not null").select("a", "b"))

@@ -167,3 +167,12 @@ def test_embeddings_that_cannot_be_compared(spark):
     assert found == sorted(linked + alone, key=str)
     nothing = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert embedding_dedup.embedding_dedup(nothing).count() == 0
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    """Equal and close vectors of rarer lengths link too; an id may occur in two lengths."""
+    rows = [(1, [1.0] * 8), (2, [1.0] * 8), (3, [1.0] * 7 + [1.1]), (4, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [2.0, 4.1]),
+            (7, [1.0, -1.0]), (8, [5.0]), (9, [0.1]), (10, [-1.0])]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    want = {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (1, 8), 9: (1, 8), 10: (0, 10)}
+    assert {r.id: (r.n_links, r.component) for r in got} == want
