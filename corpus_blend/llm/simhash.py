@@ -122,7 +122,7 @@ def near_duplicates(prints: DataFrame, distance: int = DISTANCE, block: int = BL
 
 def key_masks(n: int, distance: int = DISTANCE, per_key: int = PER_KEY) -> list[int]:
     """The bits that must agree, one mask per key: the fewest keys that leave ``per_key`` of ``n``
-    evenly spread fingerprints to a key (six blocks of which two agree is as far as it goes up)."""
+    evenly spread fingerprints to a key (seven blocks of which three agree is as far as it goes up)."""
     found = []
     for agree in (1, 2, 3):
         blocks = distance + agree
