@@ -115,14 +115,18 @@ def test_one_table_listed_twice(spark, tmp_path):
 
 
 def test_more_roles_than_a_summary_lists(spark, tmp_path):
-    rows = spark.range(1500).select("id", F.array(F.struct(F.concat(F.lit("r"), "id").alias("role"), F.lit("x").alias("content"))).alias("messages"))
+    """The most frequent ones are listed, by the same rule at any number; all are in the files."""
+    said = lambda name: F.struct(name.alias("role"), F.lit("x").alias("content"))
+    often = F.when(F.col("id") < 1400, "often").otherwise(F.concat(F.lit("z"), "id"))
+    rows = spark.range(1500).select("id", F.array(said(F.concat(F.lit("r"), "id")), said(often)).alias("messages"))
     rows.createOrReplaceTempView("t_many_roles")
     spec = MergeSpec.from_dict(
         {"datasets": [{"repo_id": "t_many_roles", "order_by": "id"}], "output": {"dedupe": False, "save_path": str(tmp_path / "out")}}
     )
     found = run_merge(spark, spec)
-    assert found["n_roles"] == 1500 and "role_counts" not in found
-    assert spark.read.json(found["role_counts_path"]).count() == 1500
+    names = sorted([f"r{i}" for i in range(1500)] + [f"z{i}" for i in range(1400, 1500)])
+    assert found["n_roles"] == 1601 and found["role_counts"] == {"often": 1400} | dict.fromkeys(names[:999], 1)
+    assert spark.read.json(found["role_counts_path"]).count() == 1601
 
 
 # --- CSV and paths ------------------------------------------------------------------------
