@@ -598,7 +598,7 @@ def read_csv_two_headers(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     halves = (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").select("n_chars", "lang", "text", "doc_id"))
     for half in halves:
-        half.coalesce(1).write.mode("append").options(header=True, escape='"').csv(folder)
+        half.write.mode("append").options(header=True, escape='"').csv(folder)
     rows = load_file(spark, folder, "csv")
     return rows.select(F.col("doc_id").cast("bigint"), "text", "lang", F.col("n_chars").cast("bigint"))
 

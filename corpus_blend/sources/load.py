@@ -14,6 +14,8 @@ from corpus_blend.functions.keys import POSITION
 from corpus_blend.operators.position import settled, with_position
 from corpus_blend.operators.select import first_rows, sample_fraction
 from corpus_blend.plans.spec import SourceSpec
+from corpus_blend.sources import csv_records
+from corpus_blend.staging import stage
 
 # File kinds, and the CSV cells read as missing.
 READERS = ("csv", "json", "jsonl", "parquet")
@@ -39,8 +41,6 @@ MISSING_CELLS = (
     "null",
 )
 
-MOST_HEADERS = 100  # files of one source with more kinds of headers than this are a mistake
-
 
 def reader_for(path: str, reader: str | None = None) -> str:
     """The reader asked for, else the one of the path's ending."""
@@ -64,8 +64,9 @@ def load_file(
     """Files, a folder or a glob as a DataFrame with a position.
 
     CSV cells stay text, and files whose headers differ are matched by column name. Quoted line
-    breaks are read as such, one file by one task; ``multi_line=False`` splits CSV files like any
-    others, for files without such breaks. A broken JSON record, or a CSV row with more or fewer
+    breaks are read as such, however a file is split; ``multi_line=False`` spares the pass that tells
+    them apart, for files without such breaks. Only files whose header itself holds a line break are
+    read by one task each. A broken JSON record, or a CSV row with more or fewer
     cells than its header, is an error, not a lost row.
 
     Rows of CSV and JSON have no number of their own, so without ``order_by`` they are written to
@@ -77,13 +78,11 @@ def load_file(
     if base_path:
         source = source.option("basePath", base_path)
     if kind == "csv":
-        parts = [
-            with_position(part, order_by)
-            for part in _csv_parts(source, path, schema, multi_line, spark)
-        ]
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows, is_settled = _csv(spark, path, schema, multi_line, base_path, settle)
         rows = _without_missing(rows, [c for c in rows.columns if c not in POSITION]) if missing_cells else rows
-        return settled(rows, order_by) if settle else rows
+        if order_by:
+            rows = with_position(rows.drop(*POSITION), order_by)
+        return settled(rows, order_by) if settle and (order_by or not is_settled) else rows
     if schema:
         source = source.schema(schema)
     if kind != "parquet":
@@ -92,30 +91,40 @@ def load_file(
     return settled(rows, order_by) if settle else rows
 
 
-def _csv_parts(source, path, schema, multi_line: bool, spark: SparkSession) -> list[DataFrame]:
-    """One frame per header that occurs. With several, or a declared schema, each file is held
-    against its own header; columns are then matched by name."""
+def _csv(spark: SparkSession, path, schema, multi_line: bool, base_path, write: bool) -> tuple[DataFrame, bool]:
+    """CSV rows with a position, by many tasks a file, and whether that position is settled."""
+    of_files = stage(csv_records.headers_of(csv_records.lines_of(spark, path, base_path)), "csv-headers")
+    headers = of_files.groupBy("header").agg(F.min("__file").alias("file"), F.max("odd").alias("odd")).collect()
+    if not headers or any(r["odd"] for r in headers):
+        return _csv_by_file(spark, path, headers, of_files, schema, multi_line, base_path), False
+    declared = spark.createDataFrame([], schema).schema if schema else None
+    columns = {}
+    for r in sorted(headers, key=lambda r: r["file"]):
+        found = _csv_reader(spark, None, multi_line).csv(plain_path(r["file"])).schema
+        if declared and [f.name.lower() for f in found] != [f.name.lower() for f in declared]:
+            raise ValueError(f"the header of {r['file']} ({', '.join(found.names)}) is not the schema's")
+        columns[r["header"]] = declared or found
+    rows = csv_records.read_records(spark, path, columns, of_files, base_path, multi_line, write)
+    return rows, write
+
+
+def _csv_reader(spark: SparkSession, base_path, multi_line: bool):
+    source = spark.read.option("basePath", base_path) if base_path else spark.read
+    return source.options(header=True, multiLine=multi_line, escape='"', mode="FAILFAST", enforceSchema=False)
+
+
+def _csv_by_file(spark: SparkSession, path, headers, of_files, schema, multi_line: bool, base_path) -> DataFrame:
+    """Files whose first line is no whole header (or that have no line), each read by one task."""
 
     def read(files):
-        options = {"header": True, "multiLine": multi_line, "escape": '"', "mode": "FAILFAST"}
-        checked = source.options(**options, enforceSchema=False)
-        if schema:
-            checked = checked.schema(schema)
-        return checked.format("csv").load(files)
-
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-        "value",
-    )
-    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    headers = first.groupBy("header").agg(F.collect_list("file").alias("files")).limit(MOST_HEADERS + 1).collect()
+        source = _csv_reader(spark, base_path, multi_line)
+        return with_position((source.schema(schema) if schema else source).csv(files))
+
     if len(headers) <= 1 or schema:
-        return [read(path)]
-    if len(headers) > MOST_HEADERS:
-        raise ValueError(f"more than {MOST_HEADERS} different headers in {path}: are these files one source?")
-    return [read([plain_path(f) for f in sorted(r["files"])]) for r in sorted(headers, key=lambda r: min(r["files"]))]
+        return read(path)
+    groups = of_files.groupBy("header").agg(F.collect_list("__file").alias("files")).collect()
+    parts = [read([plain_path(f) for f in sorted(r["files"])]) for r in sorted(groups, key=lambda r: min(r["files"]))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def plain_path(uri: str) -> str:
