@@ -63,9 +63,13 @@ MAIN_WORDS = frozenset("article content post entry story main text body".split()
 WORD = re.compile(r"[a-zA-Z]+")
 NUMBER = re.compile(r"\d+")
 
-# A form, or a mere word of a class or id, may also name what wraps the article: SOFT.
+# A form, or a mere word of a class or id, may also name what wraps the article: SOFT. Such an element
+# is read after all if it holds most of the page's text; see ``Page._wrappers``.
 KEEP, SKIP, HEADINGS_ONLY, SOFT = 0, 1, 2, 3
 MODIFIER = re.compile(r"(?:has|no|with|without)[-_]", re.I)
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus".split())
+STORY_WORDS = MAIN_WORDS - {"main", "body"}
+LONG = 500  # characters outside links that speak for an article without a title or a name
 
 
 class Page:
@@ -78,13 +82,23 @@ class Page:
 
     def __init__(self, source: str):
         self.lenient = False
+        self._wraps: frozenset[int] = frozenset()
         self._begin(source)
+        if self._soft and (found := self._wrappers()):
+            self._reopen(source, found)
         if not self.blocks and "form" in self.tag:  # the page may be wrapped whole in a form
             self.lenient = True
             self._begin(source)
 
+    def _reopen(self, source: str, wrappers: set[int]):
+        self._wraps |= wrappers
+        self._begin(source)
+
     def _begin(self, source: str):
         self.parent, self.tag, self.path, self.good, self.state = [-1], [""], [0], [1.0], [KEEP]
+        self.named, self.root = [False], [0]  # a name of main text; the innermost soft skip around
+        self._soft: dict[int, list[int]] = {}  # soft skip -> characters, those in links, signs of an article, titles
+        self._commented: set[int] = set()
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._linked = 0
@@ -116,13 +130,38 @@ class Page:
         self._flush()
 
     def _add(self, text: str):
-        if text and self.state[self._stack[-1]] == KEEP:
+        top = self._stack[-1]
+        if text and self.state[top] == SOFT:
+            n = len(text.strip())
+            weight = self._soft[self.root[top]]
+            weight[0] += n
+            weight[1] += n if self._links else 0
+        elif text and self.state[top] == KEEP:
             if "&" in text:
                 text = html.unescape(text)
             self._text.append(text)
             if self._links:
                 self._linked += len(text.strip())
 
+    def _wrappers(self) -> set[int]:
+        """Soft skips that are layout: they hold over half of the text outside links, what is kept without
+        them is less than a quarter of theirs, their own text is mostly not links, and a title, an
+        article, its usual names or sheer length speak for an article. Comments need the title."""
+        inner = {r: list(v) for r, v in self._soft.items()}
+        for r in sorted(inner, reverse=True):  # an inner one comes later
+            if outer := self.root[self.parent[r]]:
+                for i, n in enumerate(inner[r]):
+                    inner[outer][i] += n
+        kept = sum(len(text) - linked for _, text, linked in self.blocks)
+        whole = kept + sum(n - linked for n, linked, _, _ in self._soft.values())
+        found = set()
+        for r, (n, linked, signs, titles) in inner.items():
+            free = n - linked
+            proof = titles if r in self._commented else signs or titles or free >= LONG
+            if proof and 2 * free > whole and 4 * kept < free and 2 * linked <= n:
+                found.add(r)
+        return found
+
     def _flush(self):
         if self._text:
             text = " ".join("".join(self._text).split())
@@ -156,8 +195,19 @@ class Page:
         self.tag.append(tag)
         self.path.append(xxhash.xxh64_intdigest(label, self.path[above]))
         self.good.append((1.5 if tag in MAIN_TAGS else 1.0) * (1.25 if words & MAIN_WORDS else 1.0))
-        self.state.append(self._state(tag, words, known, self.state[above]))
-        self._stack.append(len(self.tag) - 1)
+        self.named.append(bool(words & STORY_WORDS))
+        state = self._state(tag, words, known, self.state[above])
+        self.state.append(state)
+        at = len(self.tag) - 1
+        starts = state == SOFT and (words & SKIPPED_WORDS or tag == "form" or not self.root[above])
+        self.root.append(at if starts else self.root[above] if state == SOFT else 0)
+        if state == SOFT:
+            weight = self._soft.setdefault(self.root[at], [0, 0, 0, 0])
+            weight[2] += tag in MAIN_TAGS or bool(words & STORY_WORDS and not words & SKIPPED_WORDS)
+            weight[3] += tag == "h1"
+            if starts and words & COMMENT_WORDS:
+                self._commented.add(at)
+        self._stack.append(at)
         self._open[tag] += 1
         self._links += tag == "a"
 
@@ -177,13 +227,17 @@ class Page:
             or re.search(r"display\s*:\s*none", known.get("style", ""), re.I)
         ):
             return SKIP
-        if above == SOFT or words & SKIPPED_WORDS or (tag == "form" and not self.lenient):
+        if above == SOFT:
+            return SOFT
+        wraps = len(self.tag) - 1 in self._wraps
+        if not wraps and (words & SKIPPED_WORDS or (tag == "form" and not self.lenient)):
             return SOFT
         if tag in HEADINGS and above == HEADINGS_ONLY:
             return KEEP
         if tag == "header" or ("header" in words and tag not in HEADINGS):
             # An article's own header may hold its title; the page's header does not.
-            return HEADINGS_ONLY if self._open["article"] or self._open["main"] else SKIP
+            own = self._open["article"] or self._open["main"] or self.named[self._stack[-1]]
+            return HEADINGS_ONLY if own else SKIP
         return above
 
     def _close(self, tag: str):
@@ -237,32 +291,55 @@ class Page:
         return self._around(top), scores[top]
 
     def _around(self, chosen: int) -> int:
-        """The outermost article or main around it, inside no other list of articles; else itself.
+        """The outermost element around it that adds text of the same article; else itself.
 
-        Title, lead and further sections lie beside the richest container of an article. An element
-        that adds mostly links, or that holds other articles too, is no larger article.
+        Title, lead and further sections lie beside the richest container. An element named as main text
+        counts if what it adds is mostly not links; any other, the body apart, if it adds the title that
+        is missing so far, or paragraphs of a tenth of the text at least. Where other articles would come
+        in, or links into a main text, the climb ends.
         """
+        levels = self._levels(chosen)
         inside, at = chosen, self.parent[chosen]
-        while at > 0:
-            if self.tag[at] in MAIN_TAGS:
-                if self._adds_text(at, inside):
-                    inside = at
-                else:
+        held, titled = levels[chosen].length, levels[chosen].titles
+        added = _Added()
+        while at > 0 and self.tag[at] not in ("body", "html"):
+            added.take(levels[at])
+            if added.articles:
+                break
+            mostly_text = 2 * added.links <= added.length
+            if self.good[at] > 1:
+                if not mostly_text:
                     break
+                accepted = True
+            else:
+                title = added.titles and not titled
+                accepted = mostly_text and 3 * added.prose >= 2 * added.length and (title or 10 * added.prose >= held)
+                accepted = accepted and added.length > 0 and self.tag[at] in CONTAINERS
+            if accepted:
+                inside, held, titled, added = at, held + added.length, titled + added.titles, _Added()
             at = self.parent[at]
         return inside
 
-    def _adds_text(self, outer: int, inner: int) -> bool:
-        length = links = 0
+    def _levels(self, chosen: int) -> dict[int, _Added]:
+        """For an element and all around it: what its blocks add to those of the next one inside."""
+        levels, at = {}, chosen
+        while at >= 0:
+            levels[at] = _Added()
+            at = self.parent[at]
+        known = {e: (e, False) for e in levels}
         for element, text, linked in self.blocks:
-            at = element
-            while at > 0 and at not in (outer, inner):
-                if self.tag[at] == "article" and inner != at:
-                    return False  # a list of articles, of which this is one
+            way, at = [], element
+            while at not in known:
+                way.append(at)
                 at = self.parent[at]
-            if at == outer and outer != inner:
-                length, links = length + len(text), links + linked
-        return 2 * links <= length
+            level, other = known[at]
+            for step in reversed(way):
+                # inside the chosen element articles are its own
+                other = other or (self.tag[step] == "article" and level != chosen)
+                known[step] = level, other
+            tag = self.tag[element]
+            levels[level].block(len(text), linked, tag == "p" or tag in HEADINGS, tag == "h1", other)
+        return levels
 
     def text(self, roots: set[int]) -> str:
         """The blocks inside any of these elements."""
@@ -282,14 +359,49 @@ class Page:
                 kept.append(text)
         return "\n\n".join(kept)
 
+    def outer_skips(self, skips: set[int]) -> set[int]:
+        """These soft skips and those around them."""
+        found = set()
+        for r in skips:
+            while r and r not in found:
+                found.add(r)
+                r = self.root[self.parent[r]]
+        return found
+
     def on_path(self, path: int | None) -> set[int]:
         return {i for i, p in enumerate(self.path) if p == path and self.tag[i] in CONTAINERS}
 
 
+class _Added:
+    """What some blocks are made of."""
+
+    def __init__(self):
+        self.length = self.links = self.prose = self.titles = 0
+        self.articles = False
+
+    def block(self, length: int, links: int, prose: bool, title: bool, other_article: bool):
+        self.length += length
+        self.links += links
+        self.prose += length - links if prose else 0
+        self.titles += title
+        self.articles |= other_article
+
+    def take(self, other: _Added):
+        self.length, self.links = self.length + other.length, self.links + other.links
+        self.prose, self.titles = self.prose + other.prose, self.titles + other.titles
+        self.articles |= other.articles
+
+
 def extract(source: str, path: int | None = None) -> str:
-    """Main text: from the containers on ``path`` if the page has any with text, else its own best."""
+    """Main text: from the containers on ``path`` if the page has any with text, else its own best.
+
+    Where the host's pages found their text inside an element that is named like furniture, it is opened
+    on this page too.
+    """
     page = Page(source)
     chosen = page.on_path(path) if path is not None else set()
+    if hidden := {page.root[e] for e in chosen if page.state[e] == SOFT}:
+        page._reopen(source, page.outer_skips(hidden))
     return (page.text(chosen) if chosen else "") or page.text({page.best()[0]})
 
 
