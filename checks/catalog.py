@@ -111,6 +111,14 @@ def _deep_json(spark, sf_dir):
     return docs.withColumn("text", F.when(F.col("key") % 3 == 0, bare).otherwise(inner))
 
 
+def _deeper_json(spark, sf_dir):
+    """Every text as JSON forty-two levels deep."""
+    docs = d.text(spark, sf_dir)
+    inner = F.to_json(F.array(F.struct(F.col("text").alias("value"))))
+    deep = F.concat(F.repeat(F.lit('[{"content":'), F.lit(20)), inner, F.repeat(F.lit("}]"), F.lit(20)))
+    return docs.withColumn("text", deep)
+
+
 def detect_empty_first(spark, sf_dir):
     """Chats of which all but the last few are empty still are chats."""
     rows = d.chatml(spark, sf_dir)
@@ -719,6 +727,7 @@ def queries() -> dict:
         "coerce_list": _standard(_word_lists),
         "coerce_json_content": _standard(d.json_blocks, json_content=True),
         "coerce_json_deep": _standard(_deep_json, json_content=True),
+        "coerce_json_deeper": _standard(_deeper_json, json_content=True),
         # targets
         "chat_to_text": _converted(d.chatml, "text"),
         "roles_to_text": _converted(d.spellings, "text"),

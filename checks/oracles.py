@@ -414,6 +414,7 @@ FROM documents""",
 FROM documents""",
         "coerce_json_deep": """SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0
   THEN '{"b":' || to_json(text)::VARCHAR || ',"a":2}' ELSE text END AS text FROM documents""",
+        "coerce_json_deeper": "SELECT doc_id AS key, coalesce(text, '') AS text FROM documents",
         "coerce_json_content": _with(
             TURNS,
             select=f"""SELECT key, idx, role, CASE WHEN role = 'assistant' THEN {_joined(LINES)}

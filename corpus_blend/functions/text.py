@@ -22,7 +22,7 @@ BLOCK_KEYS = ("text", "content")
 VALUE_KEYS = ("text", "content", "value")
 PART_SEPARATOR = "\n"
 
-JSON_DEPTH = 16  # an expression cannot recurse, so it is written out for this many levels
+JSON_DEPTH = 16  # an expression cannot recurse: so many levels are written out, deeper ones folded
 
 
 def to_text(col: Column, dtype: T.DataType, json_content: bool = False) -> Column:
@@ -167,7 +167,8 @@ def _once(value: Column, use) -> Column:
 
 
 def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Column:
-    """Text of a parsed JSON value; lists and objects nested more than ``depth`` deep are an error.
+    """Text of a parsed JSON value; lists and objects nested more than ``depth`` deep are read off
+    their JSON text instead, to the same result.
 
     A list has its items as children, an object the value of its first text
     key. ``listed`` tells whether the value is itself an item of a list.
@@ -176,19 +177,18 @@ def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Co
     is_list, is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
     plain = F.try_variant_get(value, "$", "string")
     scalar = F.when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
-    if depth == 0:
-        deeper = F.raise_error(F.lit(f"JSON in a message is nested more than {JSON_DEPTH} levels deep"))
-        text = F.when(is_list | is_object, deeper.cast("string")).otherwise(scalar)
-        return F.coalesce(text, F.lit(""))
     members = F.try_variant_get(value, "$", "map<string,variant>")
-    child = F.lit(None)
-    for key in reversed(VALUE_KEYS):
-        found = F.map_contains_key(members, key)
-        child = F.when(found, F.array(F.element_at(members, key))).otherwise(child)
-    children = F.when(is_list, F.try_variant_get(value, "$", "array<variant>")).otherwise(child)
-    text = F.when(
-        children.isNotNull(), _lines(children, lambda x: _variant_text(x, depth - 1, is_list))
-    ).otherwise(F.when(is_object, F.to_json(value)).otherwise(scalar))
+    if depth == 0:
+        text = F.when(is_list | is_object, _once(F.to_json(value), _folded)).otherwise(scalar)
+    else:
+        child = F.lit(None)
+        for key in reversed(VALUE_KEYS):
+            found = F.map_contains_key(members, key)
+            child = F.when(found, F.array(F.element_at(members, key))).otherwise(child)
+        children = F.when(is_list, F.try_variant_get(value, "$", "array<variant>")).otherwise(child)
+        text = F.when(
+            children.isNotNull(), _lines(children, lambda x: _variant_text(x, depth - 1, is_list))
+        ).otherwise(F.when(is_object, F.to_json(value)).otherwise(scalar))
     if listed is not None:
         held = [F.coalesce(F.map_contains_key(members, k), F.lit(False)) for k in BLOCK_KEYS]
         part = F.try_variant_get(value, "$.type", "string")
@@ -197,6 +197,99 @@ def _variant_text(value: Column, depth: int, listed: Column | None = None) -> Co
     return F.coalesce(text, F.lit(""))
 
 
+# What is open at a token of JSON text: a list with its items' texts, or an object with the key that
+# waits for its value, the first of the text keys so far (its rank and text), and what decides whether
+# it is a part with text. ``start`` is where it begins.
+_FRAME = (
+    "struct<list:boolean,parts:array<string>,key:string,rank:int,text:string,type:string,named:boolean,start:int>"
+)
+_FOLD = f"struct<open:array<{_FRAME}>,at:int,text:string>"
+_TOKENS = r'("(?:[^"\\]++|\\.)*+"|[\[\]{}:,]|[^"\[\]{}:,]++)'
+
+
+def _folded(json: Column) -> Column:
+    """Text of a JSON list or object of any depth: one pass over its tokens with a stack."""
+    start = F.struct(F.array(), F.lit(0), F.lit(None)).cast(_FOLD)
+    tokens = F.regexp_extract_all(json, F.lit(_TOKENS), F.lit(1))
+    return F.aggregate(tokens, start, lambda s, t: _step(s, t, json), lambda s: s["text"])
+
+
+def _last(stack: Column) -> Column:
+    return F.get(stack, F.size(stack) - 1)
+
+
+def _but_last(stack: Column) -> Column:
+    return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+
+
+def _step(state: Column, token: Column, json: Column) -> Column:
+    stack, after = state["open"], state["at"] + F.length(token)
+
+    def moved(to: Column, text: Column) -> Column:
+        return F.struct(to.alias("open"), after.alias("at"), text.alias("text")).cast(_FOLD)
+
+    def within(top: Column) -> Column:
+        opened = F.struct(
+            (token == "[").alias("list"), F.array().cast("array<string>"), F.lit(None), F.lit(None), F.lit(None),
+            F.lit(None), F.lit(False), state["at"],
+        ).cast(_FRAME)
+        keyed = F.struct(
+            *[(_unquoted(token) if n == "key" else top[n]).alias(n) for n in ("list", "parts", "key", "rank", "text", "type", "named", "start")]
+        ).cast(_FRAME)
+        closes = token.isin("]", "}")
+        below = F.when(closes, _but_last(stack)).otherwise(stack)
+        holder = _last(below)
+        value = F.when(closes, _closed_text(top, holder, after, json)).otherwise(_scalar_text(token))
+        is_key = ~top["list"] & top["key"].isNull() & F.startswith(token, F.lit('"'))
+        done = F.when(F.size(below) == 0, moved(below, value)).otherwise(
+            moved(F.concat(_but_last(below), F.array(_holding(holder, value, token))), state["text"])
+        )
+        return (
+            F.when(token.isin("[", "{"), moved(F.concat(stack, F.array(opened)), state["text"]))
+            .when(token.isin(":", ","), moved(stack, state["text"]))
+            .when(is_key, moved(F.concat(_but_last(stack), F.array(keyed)), state["text"]))
+            .otherwise(done)
+        )
+
+    return _once(_last(stack), within)
+
+
+def _unquoted(token: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(token), "$", "string")
+
+
+def _scalar_text(token: Column) -> Column:
+    plain = _unquoted(token)
+    return F.coalesce(F.when(token.isin("true", "false"), F.initcap(plain)).otherwise(plain), F.lit(""))
+
+
+def _closed_text(frame: Column, holder: Column, after: Column, json: Column) -> Column:
+    listed = F.array_join(F.filter(frame["parts"], lambda t: t != ""), PART_SEPARATOR)
+    whole = F.substring(json, frame["start"] + 1, after - frame["start"])
+    member = F.when(frame["rank"].isNotNull(), frame["text"]).otherwise(whole)
+    dropped = F.coalesce(holder["list"], F.lit(False)) & ~frame["named"] & ~_is_text_part(frame["type"])
+    return F.when(frame["list"], listed).when(dropped, "").otherwise(member)
+
+
+def _holding(frame: Column, value: Column, token: Column) -> Column:
+    """The frame around a value, with that value taken in."""
+    key, rank = frame["key"], F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(VALUE_KEYS))):
+        rank = F.when(key == name, i).otherwise(rank)
+    first = ~frame["list"] & rank.isNotNull() & (frame["rank"].isNull() | (rank < frame["rank"]))
+    kind = F.when(token.isin("]", "}"), token).otherwise(_unquoted(token))
+    return F.struct(
+        frame["list"].alias("list"),
+        F.when(frame["list"], F.concat(frame["parts"], F.array(value))).otherwise(frame["parts"]).alias("parts"),
+        F.lit(None).cast("string").alias("key"),
+        F.when(first, rank).otherwise(frame["rank"]).alias("rank"),
+        F.when(first, value).otherwise(frame["text"]).alias("text"),
+        F.when(key == "type", kind).otherwise(frame["type"]).alias("type"),
+        (frame["named"] | F.coalesce(key.isin(*BLOCK_KEYS), F.lit(False))).alias("named"),
+        frame["start"].alias("start"),
+    ).cast(_FRAME)
+
+
 # --- small text helpers -----------------------------------------------------------
 
 
