@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_blend.llm.common import stage, text_slices
@@ -46,16 +46,22 @@ _LINES = pa.schema(
 )
 
 
-def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Which document a row is: rows of one id and one text are the same document."""
-    return df.withColumns(
-        {
-            "__doc": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)),
-            "__version": F.xxhash64(F.col(f"`{text_col}`").cast("string")),
-        }
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Which document a row is, as ``doc, version``: rows of one id and one text are the same document."""
+    return (
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)),
+        F.xxhash64(F.col(f"`{text_col}`").cast("string")),
     )
 
 
+def _free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in whatever case."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """A row per line that is not blank, without the text itself.
 
@@ -70,9 +76,10 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 texts = part.column("text").cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(_facts(part, texts, min_words), schema=_LINES)
 
-    rows = _keys(df, id_col, text_col).select(
-        F.col("__doc").alias("doc"),
-        F.col("__version").alias("version"),
+    doc, version = _keys(id_col, text_col)
+    rows = df.select(
+        doc.alias("doc"),
+        version.alias("version"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
     kind = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in _LINES)
@@ -198,13 +205,17 @@ def line_dedup(
     alike and are no copies of each other. A null id counts as the largest. No rows give no rows.
     """
     spans = stage(repeated_spans(df, id_col, text_col, min_words), "spans")
-    spans = spans.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
+    own_doc, own_version, own_spans = _free_names(df, "doc", "version", "spans")
+    spans = spans.select(F.col("doc").alias(own_doc), F.col("version").alias(own_version), F.col("spans").alias(own_spans))
+    doc, version = _keys(id_col, text_col)
     # There may be as many spans as documents, so whatever their number they are not broadcast.
-    rows = _keys(df, id_col, text_col).join(spans.hint("merge"), ["__doc", "__version"], "left")
-    inside = lambda j: F.exists("__spans", lambda s: (j >= s["first"]) & (j <= s["last"]))
+    rows = df.withColumns({own_doc: doc, own_version: version})
+    rows = rows.join(spans.hint("merge"), [own_doc, own_version], "left")
+    inside = lambda j: F.exists(own_spans, lambda s: (j >= s["first"]) & (j <= s["last"]))
     text = F.col(f"`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda _, j: ~inside(j)), "\n")
-    removed = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
-    edited = {text_col: F.when(F.col("__spans").isNull(), text).otherwise(left)}
+    removed = F.aggregate(own_spans, F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
+    edited = {text_col: F.when(F.col(own_spans).isNull(), text).otherwise(left)}
     counts = {removed_col: F.coalesce(removed, F.lit(0).cast("bigint"))} if removed_col else {}
-    return rows.withColumns(edited | counts).drop("__doc", "__version", "__spans")
+    kept = [c for c in df.columns if c != removed_col]
+    return rows.withColumns(edited | counts).select(*[F.col(f"`{c}`") for c in (*kept, *counts)])

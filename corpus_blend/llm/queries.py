@@ -76,8 +76,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
-    encoded = sentence_pieces.encode(read_table(spark, sf_dir, "documents"), model, verify=True)
-    decoded = sentence_pieces.decode(encoded, model)
+    threads = max(2, int(spark.conf.get("spark.task.cpus", "1")))
+    encoded = sentence_pieces.encode(read_table(spark, sf_dir, "documents"), model, threads=threads, verify=True)
+    decoded = sentence_pieces.decode(encoded, model, threads)
     return decoded.select(
         F.col("id").alias("doc_id"),
         "n_tokens",

@@ -250,14 +250,19 @@ def encode(
     model: bytes,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threads: int = 1,
+    *,
+    threads: int = 2,
     verify: bool = False,
 ) -> DataFrame:
     """``id, n_tokens, ids`` (little-endian unsigned 32-bit, in a binary) of every whole text.
 
     ``model`` is the content of a SentencePiece model file. ``verify`` encodes all that a worker
     sees for the first time by the SentencePiece library too; a difference is an error. A null
-    text is empty and has no ids; repeated rows have equal ids; other columns are not looked at.
+    text is empty and has no ids; repeated rows have equal ids; other columns are not looked at. No rows
+    give no rows. Long texts are encoded whole; those above 4 MB each have a slice to themselves.
+
+    ``threads`` of the library's pool encode a batch in each worker; set it to ``spark.task.cpus``
+    where that is more than two.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -274,8 +279,9 @@ def encode(
     return id_and_text(df, id_col, text_col).mapInArrow(run, "id bigint, n_tokens bigint, ids binary")
 
 
-def decode(df: DataFrame, model: bytes, threads: int = 1) -> DataFrame:
-    """``id, n_tokens, ids, text`` of rows as ``encode`` returns them; null ids have the text "".
+def decode(df: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
+    """``id, n_tokens, ids, text`` of rows as ``encode`` returns them; null ids have the text "", and
+    no rows give no rows.
 
     An id that the model doesn't have is an error. Spaces come back as spaces; what the model's
     normalizer changed does not come back.

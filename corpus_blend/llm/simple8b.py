@@ -2,7 +2,8 @@
 
 A file holds the ids of whole documents in order. All numbers are little-endian:
 
-    header   magic "S8BT", version, block size, numbers of documents, ids, blocks and words
+    header   magic "S8BT", version, block size, numbers of documents, of those without an id (the
+             file's last ones), of ids, blocks and words
     tables   document ids, ids of each document, first word of each block (int64 each)
     words    64 bits each: 4 bits of selector, 60 bits of ids
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from corpus_blend.llm.common import id_and_text, new_folder, open_input, stage, text_slices, write_file
 from corpus_blend.llm.word_ids import WordEncoder
 
-MAGIC, VERSION = b"S8BT", 1
-HEADER = struct.Struct("<4sIQQQQQ")
+MAGIC, VERSION = b"S8BT", 2
+HEADER = struct.Struct("<4sIQQQQQQ")
 BLOCK = 1024
 FILE_IDS = 4 << 20
 # Fixed values of the code: how many ids a word of each selector holds, and of how many bits.
@@ -120,8 +121,9 @@ def pack_file(out, doc_ids: list[int], counts: list[int], parts: list[tuple[np.n
     words = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, np.uint64)
     shift = np.cumsum([0, *(len(w) for w, _ in parts)])
     blocks = np.concatenate([b + s for (_, b), s in zip(parts, shift, strict=False)]) if parts else np.zeros(0, int)
-    out.write(HEADER.pack(MAGIC, VERSION, block, len(doc_ids), sum(counts), len(blocks), len(words)))
-    for table in (doc_ids, counts, blocks):
+    unnamed = sum(i is None for i in doc_ids)
+    out.write(HEADER.pack(MAGIC, VERSION, block, len(doc_ids), unnamed, sum(counts), len(blocks), len(words)))
+    for table in ([i or 0 for i in doc_ids], counts, blocks):
         out.write(np.asarray(table, "<i8").tobytes())
     out.write(words.astype("<u8", copy=False).tobytes())
 
@@ -134,7 +136,8 @@ class TokenFile:
         found = HEADER.unpack(source.read(HEADER.size))
         if found[:2] != (MAGIC, VERSION):
             raise ValueError("not a file of this format")
-        self.block, docs, self.n_ids, blocks, self.n_words = found[2:]
+        self.block, docs, unnamed, self.n_ids, blocks, self.n_words = found[2:]
+        self.named = docs - unnamed
         self.doc_ids, self.counts, self.blocks = (self._numbers(k, "<i8") for k in (docs, docs, blocks))
         self.words_at = HEADER.size + 8 * (2 * docs + blocks)
 
@@ -163,17 +166,18 @@ def write_tokens(
     file_ids: int = FILE_IDS,
 ) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the ids under ``folder`` in ascending
-    order of ``id_col``; returns a row per file: ``path, documents, ids``. Files sort by name in
+    order of ``id_col``, nulls last; returns a row per file: ``path, documents, ids``. Files sort by name in
     the order of their documents and hold ``file_ids`` ids and what comes with the last slice of texts.
 
     ``tokenizer`` is the JSON text of a tokenizer. A null text is empty, and so is its encoding: its
-    document holds ``end_id`` alone. Rows that repeat an id follow each other, ordered by text; a
-    null id is not allowed, as files are in order of ids. No rows give no files.
+    document holds ``end_id`` alone. Rows that repeat an id, and those without one, follow each other
+    in order of a hash of their texts, then of the texts, so that they need not be one task's. No rows
+    give no files.
     """
     folder = folder or new_folder(df.sparkSession, "tokens")
     rows = id_and_text(df, id_col, text_col)
-    rows = rows.withColumn("id", F.coalesce("id", F.raise_error(F.lit(f"{id_col} is null")).cast("bigint")))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    order = F.col("id").asc_nulls_last(), F.xxhash64("text")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -262,7 +266,7 @@ def _documents(path: str, file: TokenFile, before: int, most: int = 1 << 20):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([path] * n),
-                pa.array(file.doc_ids[first:last]),
+                pa.array(file.doc_ids[first:last], mask=np.arange(first, last) >= file.named),
                 pa.array(edges[:-1] + before),
                 pa.array(file.counts[first:last]),
                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())]),

@@ -264,7 +264,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings, id_c
     part = F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     chosen = known.where(draw < part)
     texts = id_and_text(docs.where(F.length(f"`{text_col}`") <= settings.max_chars), id_col, text_col)
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
+    known = texts.join(F.broadcast(chosen), "id")
+    # An id may be repeated without end; each counts once, by the least of its texts.
+    return known.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, **columns) -> Model:

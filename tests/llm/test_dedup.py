@@ -217,6 +217,14 @@ def test_line_dedup_like_all_runs(spark, seed, min_words):
     assert found == line_model(rows, min_words)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "\n".join(f"words of line {i}" for i in range(20))
+    rows = spark.createDataFrame([(1, text, "a", 5, "s"), (2, text, "b", 6, "t")], "doc_id long, text string, __doc string, __VERSION int, __spans string")
+    got = sorted(line_dedup.line_dedup(rows, removed_col="n_gone").collect())
+    assert [tuple(r) for r in got] == [(1, text, "a", 5, "s", 0), (2, "", "b", 6, "t", 20)]
+    assert line_dedup.line_dedup(rows).columns == rows.columns
+
+
 def test_line_dedup_of_edge_rows(spark):
     got = line_dedup.line_dedup(documents(spark)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r[0], r[1]) for r in ROWS), key=str)

@@ -12,7 +12,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from frames import ROWS, documents, empty
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpus_blend.llm import packing, sentence_pieces, simple8b
@@ -30,6 +32,10 @@ def word_tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def ids_of(text, end):
     return [*word_tokenizer().encode(text or "", add_special_tokens=False).ids, end]
 
@@ -95,22 +101,37 @@ def test_a_broken_file_is_an_error():
 
 
 def test_token_files(spark, tmp_path):
-    rows = [r for r in ROWS if r[0] is not None]
+    rows = ROWS
     folder = str(tmp_path / "tokens")
     files = simple8b.write_tokens(documents(spark, rows), tokenizer_json(), 1, folder, block=64, file_ids=1000)
     found = simple8b.read_tokens(spark, folder, files).collect()
-    got = sorted((r.id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in found)
+    got = sorted(((r.id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in found), key=lambda r: r[1])
     want, start = [], 0
-    for i, text, *_ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    order = lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)), r[1] or "")
+    for i, text, *_ in sorted(rows, key=order):
         ids = ids_of(text, 1)
         want.append((i, start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want and sum(r.documents for r in files.collect()) == len(rows)
 
 
-def test_token_files_need_ids(spark, tmp_path):
-    with pytest.raises(Exception, match="doc_id is null"):
-        simple8b.write_tokens(documents(spark), tokenizer_json(), 1, str(tmp_path / "x"))
+def test_one_id_or_none_for_a_third_of_all_rows(spark, tmp_path):
+    """Rows without an id come last and are spread over tasks like those of one id."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    folder = str(tmp_path / "x")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 600 rows would be one task's
+    try:
+        files = simple8b.write_tokens(frame, tokenizer_json(), 1, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() == 4 and files.agg(F.max("documents")).first()[0] < 200
+    found = sorted(simple8b.read_tokens(spark, folder, files).collect(), key=lambda r: r.start)
+    assert [r.id for r in found] == sorted((r[0] for r in rows if r[0] is not None)) + [None] * 200
+    assert sorted(r.n_tokens for r in found) == sorted(len(ids_of(t, 1)) for _, t in rows)
+
+
+def test_no_rows_give_no_token_files(spark, tmp_path):
     assert simple8b.write_tokens(empty(spark), tokenizer_json(), 1, str(tmp_path / "none")).count() == 0
 
 
