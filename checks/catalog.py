@@ -592,6 +592,25 @@ def read_json(spark, sf_dir):
     return rows.select("doc_id", "text", "lang", "n_chars")
 
 
+def read_json_split(spark, sf_dir):
+    """Lists of a thousand records, each read by many tasks: records lie across the ends of blocks."""
+    folder = new_folder(spark, "files")
+    record = F.struct("doc_id", "text", "lang", "n_chars")
+    lists = _documents(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 1000).alias("g"))
+    documents = lists.agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+    documents.write.option("maxRecordsPerFile", 1).text(folder)
+    sizes = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "16k"}
+    before = {name: spark.conf.get(name) for name in sizes}
+    try:
+        for name, size in sizes.items():
+            spark.conf.set(name, size)
+        rows = load_file(spark, folder, "json")
+    finally:
+        for name, size in before.items():
+            spark.conf.set(name, size)
+    return rows.select("doc_id", "text", "lang", "n_chars")
+
+
 def read_parquet_order(spark, sf_dir):
     """File position stands in for an order column."""
     rows = load_file(spark, f"{sf_dir}/documents.parquet")
@@ -792,6 +811,7 @@ def queries() -> dict:
         "read_csv_two_headers": read_csv_two_headers,
         "read_jsonl": _read_back("jsonl"),
         "read_json": read_json,
+        "read_json_split": read_json_split,
         "read_parquet_order": read_parquet_order,
         "read_capped": read_capped,
         "read_table": read_table,

@@ -555,6 +555,7 @@ FROM t JOIN b ON b.i = c % (SELECT count(*) FROM b)""",
         "read_csv": "SELECT doc_id, nullif(text, '') AS text, lang, n_chars FROM documents",
         "read_jsonl": ALL_DOCUMENTS,
         "read_json": ALL_DOCUMENTS,
+        "read_json_split": ALL_DOCUMENTS,
         "read_csv_two_headers": "SELECT doc_id, nullif(text, '') AS text, lang, n_chars FROM documents",
         "read_parquet_order": "SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents",
         "read_capped": f"SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {HEAD}",

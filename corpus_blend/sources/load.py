@@ -14,7 +14,7 @@ from corpus_blend.functions.keys import POSITION
 from corpus_blend.operators.position import settled, with_position
 from corpus_blend.operators.select import first_rows, sample_fraction
 from corpus_blend.plans.spec import SourceSpec
-from corpus_blend.sources import csv_records
+from corpus_blend.sources import csv_records, json_records
 from corpus_blend.staging import stage
 
 # File kinds, and the CSV cells read as missing.
@@ -66,7 +66,8 @@ def load_file(
     CSV cells stay text, and files whose headers differ are matched by column name. Quoted line
     breaks are read as such, however a file is split; ``multi_line=False`` spares the pass that tells
     them apart, for files without such breaks. Only files whose header itself holds a line break are
-    read by one task each. A broken JSON record, or a CSV row with more or fewer
+    read by one task each. JSON files that are lists are split too, if any is long enough for that; a source
+    with a file that is a single object is read one file per task. A broken JSON record, or a CSV row with more or fewer
     cells than its header, is an error, not a lost row.
 
     Rows of CSV and JSON have no number of their own, so without ``order_by`` they are written to
@@ -83,6 +84,10 @@ def load_file(
         if order_by:
             rows = with_position(rows.drop(*POSITION), order_by)
         return settled(rows, order_by) if settle and (order_by or not is_settled) else rows
+    if kind == "json" and json_records.may_split(spark, path):
+        rows = json_records.read_records(spark, path, schema, base_path)
+        if rows is not None:
+            return settled(with_position(rows.drop(*POSITION), order_by), order_by) if order_by else rows
     if schema:
         source = source.schema(schema)
     if kind != "parquet":
