@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_blend.llm.common import stage, text_slices
@@ -154,8 +154,18 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earliest = stage(found.groupBy(*interval).agg(*seen).where("n > 1").drop("n"), "intervals")
     later = found.join(earliest, interval).where(F.struct(*PLACE) != F.col("rank"))
     end = (F.col("at") + F.col("m")).alias("end")
-    spans = later.groupBy(*DOC).agg(F.collect_set(F.struct("at", end, "first", "last")).alias("spans"))
-    return spans.mapInArrow(_merge, "doc bigint, version bigint, spans array<struct<first: int, last: int>>")
+    return _spans(later.select(*DOC, "at", end, "first", "last"))
+
+
+def _spans(runs: DataFrame) -> DataFrame:
+    """Runs of each document that overlap or follow each other, but for blank lines, as one span; spans in order."""
+    order = Window.partitionBy(*DOC).orderBy("at", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("at") <= reached, 0).otherwise(1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = runs.withColumn("begins", begins).withColumn("span", F.sum("begins").over(so_far))
+    merged = numbered.groupBy(*DOC, "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
 def _double(ranks: DataFrame, n: int) -> DataFrame:
@@ -167,24 +177,15 @@ def _double(ranks: DataFrame, n: int) -> DataFrame:
     return pairs.join(first, ["rank", "next"]).select(*PLACE, F.col("new").alias("rank"))
 
 
-def _merge(batches):
-    """Join runs of each document that overlap or follow each other, but for blank lines."""
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    for batch in batches:
-        merged = []
-        for runs in batch.column("spans").to_pylist():
-            spans: list[dict] = []
-            end = -1
-            for run in sorted(runs, key=lambda r: (r["at"], r["end"])):
-                if spans and run["at"] <= end:
-                    spans[-1]["last"] = max(spans[-1]["last"], run["last"])
-                else:
-                    spans.append({"first": run["first"], "last": run["last"]})
-                end = max(end, run["end"])
-            merged.append(spans)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("version"), pa.array(merged, kind)], names=["doc", "version", "spans"]
-        )
+def _without(lines: Column, spans: Column) -> Column:
+    """The lines between the spans, cut out as stretches, so that no line is held against each span."""
+
+    def stretch(k):
+        begin = F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["last"] + 1)
+        end = F.when(k == F.size(spans), F.size(lines)).otherwise(F.get(spans, k)["first"])
+        return F.slice(lines, begin + 1, end - begin)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), stretch))
 
 
 def line_dedup(
@@ -211,9 +212,10 @@ def line_dedup(
     # There may be as many spans as documents, so whatever their number they are not broadcast.
     rows = df.withColumns({own_doc: doc, own_version: version})
     rows = rows.join(spans.hint("merge"), [own_doc, own_version], "left")
-    inside = lambda j: F.exists(own_spans, lambda s: (j >= s["first"]) & (j <= s["last"]))
     text = F.col(f"`{text_col}`")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, j: ~inside(j)), "\n")
+    # as the one element of an array, so that the text is split once
+    split = F.array(F.split(text, "\n"))
+    left = F.get(F.transform(split, lambda x: F.array_join(_without(x, F.col(own_spans)), "\n")), 0)
     removed = F.aggregate(own_spans, F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
     edited = {text_col: F.when(F.col(own_spans).isNull(), text).otherwise(left)}
     counts = {removed_col: F.coalesce(removed, F.lit(0).cast("bigint"))} if removed_col else {}

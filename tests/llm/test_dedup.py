@@ -236,3 +236,14 @@ def test_a_planted_passage_goes_from_later_documents(spark):
     rows = [(i, f"begin {i}\n{passage}\n\nend {i}", "en", "a", 1) for i in (3, 1, 2)]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(documents(spark, rows)).collect()}
     assert got == {1: rows[1][1], 2: "begin 2\n\nend 2", 3: "begin 3\n\nend 3"}
+
+
+def test_as_many_spans_as_lines(spark):
+    n = 50_000
+    first = "\n".join(f"u{i} v{i}" for i in range(n))
+    mixed = "\n".join(f"u{i} v{i}\nown{i}" for i in range(n))
+    rows = [(1, first, "en", "a", 1), (2, mixed, "en", "a", 1)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(documents(spark, rows), min_words=2, removed_col="n_gone").collect()}
+    # "own0 u1 v1" and the like are runs of enough words too, but are no repeats
+    assert got[2].text == "\n".join(f"own{i}" for i in range(n)) and got[2].n_gone == n
+    assert got[1].text == first
