@@ -36,11 +36,14 @@ def _hash_cut(df: DataFrame, salt, key: list[str], size_of: Callable[[int], int]
     """Row count, and the (hash, key) of the k-th row in hash order, k = size_of(count).
 
     Counts rows per leading bits of the hash and goes on inside the one group
-    where the k-th row lies. Nothing is sorted or exchanged but those counts.
+    where the k-th row lies. Nothing is sorted or exchanged but those counts. A group of
+    more than ``small`` rows is written, hashes and keys alone, so that ``df`` is read twice
+    at most, whatever its number of rows.
     """
     columns = ["_order", *key]
     rows = df.select(hash_number(salt, key_text(key)).alias("_order"), *key)
     total = wanted = None
+    written = False
     shift = HASH_BITS
     while True:
         shift -= min(STEP_BITS, shift)
@@ -57,6 +60,8 @@ def _hash_cut(df: DataFrame, salt, key: list[str], size_of: Callable[[int], int]
             wanted -= counts[chosen]
         low, high = chosen << shift, (chosen + 1) << shift
         rows = rows.where((F.col("_order") >= low) & (F.col("_order") < high))
+        if counts[chosen] > small and not written:
+            rows, written = stage(rows, "hash-group"), True
         if counts[chosen] <= small:
             last = rows.orderBy(*columns).limit(wanted + 1).collect()
             if len(last) > wanted and last[wanted] == last[wanted - 1]:
