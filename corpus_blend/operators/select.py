@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from corpus_blend.staging import stage
 STEP_BITS = 12  # a counting pass has 2^12 groups, in each task and on the driver
 SMALL = 10_000  # a group of at most this many keys is finished by an ordered take
 ORDERED_TAKE = 10_000  # keys each task of first_rows may send to one; beyond, they are indexed
+SAMPLED = 20_000  # keys, about, that are looked at to guess between which two the n-th lies
 TASK_BITS = 33  # monotonically_increasing_id keeps the task number above these bits
 
 
@@ -196,6 +198,42 @@ def dense_index(df: DataFrame, order=POSITION, within: str | None = None) -> Dat
     )
 
 
+def _last_of(keys: DataFrame, order: list[str], n: int) -> list:
+    first = keys.orderBy(*order).limit(n)
+    return first.orderBy(*[F.col(c).desc() for c in order]).limit(1).collect()
+
+
+def _nth(keys: DataFrame, order: list[str], n: int, ordered_take: int, sampled: int | None = None) -> list:
+    """The n-th key in ``order``, in a list; empty if there are fewer.
+
+    A sample by hash, of bounded size, tells two keys between which it most likely lies. Keys up to the lower are
+    counted and those between written, which is exact: only if the guess was wrong, keys repeat
+    so much that it rules out little, or some are null are all keys sorted.
+    """
+    sampled = sampled or SAMPLED
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])
+    total, nulls = keys.agg(F.count(F.lit(1)), F.count_if(missing)).first()
+    if n > total:
+        return []
+    every = total // sampled
+    if every > 1 and not nulls:
+        drawn = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).distinct()
+        guesses = [list(r) for r in drawn.orderBy(*order).limit(4 * sampled).collect()]
+        at, slack = n // every, 4 * math.isqrt(n // every) + 10
+        low = guesses[at - slack] if 0 <= at - slack < len(guesses) else None
+        high = guesses[at + slack] if at + slack < len(guesses) else None
+        up_to = F.lit(False) if low is None else not_after(order, low)
+        below = keys.where(up_to).count() if low is not None else 0
+        inside = keys.where(~up_to & (F.lit(True) if high is None else not_after(order, high)))
+        inside = stage(inside, "bracket")
+        found = inside.count()
+        if 0 < n - below <= found and found <= total // 2:
+            if n - below <= ordered_take:
+                return _last_of(inside, order, n - below)
+            return _nth(inside, order, n - below, ordered_take, sampled)
+    return dense_index(keys, order).where(F.col("_index") == n - 1).select(*order).collect()
+
+
 def first_rows(
     df: DataFrame, n: int | None, order=POSITION, ordered_take: int = ORDERED_TAKE
 ) -> DataFrame:
@@ -209,8 +247,7 @@ def first_rows(
     order = as_list(order)
     keys = df.select(*order)
     if n <= ordered_take:
-        first = keys.orderBy(*order).limit(n)
-        last = first.orderBy(*[F.col(c).desc() for c in order]).limit(1).collect()
+        last = _last_of(keys, order, n)
     else:
-        last = dense_index(keys, order).where(F.col("_index") == n - 1).select(*order).collect()
+        last = _nth(keys, order, n, ordered_take)
     return df.where(not_after(order, list(last[0]))) if last else df
